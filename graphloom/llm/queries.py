@@ -5,10 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import dedup, mixing, tokenizer
+from graphloom.llm import credentials, dedup, mixing, origin, syntax, tokenizer
 from graphloom.runtime import Scratch, table
 
 
+_CODE = [("symbols", "symbol_id"), ("snippets", "snippet_id")]
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [
+        credentials.scan(table(spark, sf, name), key).select(F.lit(name).alias("source_table"), "row_id", "line_no")
+        for name, key in _CODE
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [
+        credentials.redacted(table(spark, sf, name)).select(
+            F.lit(name).alias("source_table"), F.col(key).cast("string").alias("row_id"), "source_code"
+        )
+        for name, key in _CODE
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _origins(spark: SparkSession, sf: str) -> DataFrame:
+    return origin.origins(table(spark, sf, "file_index"), table(spark, sf, "parse_results"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _origins(spark, sf).select("file_id").distinct()
+
+
+def p3_origins(spark: SparkSession, sf: str) -> DataFrame:
+    return _origins(spark, sf)
+
+
 def _collapsed(spark: SparkSession, sf: str) -> DataFrame:
     keys = {
         "title": dedup.canonical_title(F.col("title")),
@@ -45,6 +78,18 @@ g AS (SELECT finding_id, min(finding_id) OVER w AS kept_id, count(*) OVER w AS c
 """
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.invalid(table(spark, sf, "parse_results")).select("file_id").distinct()
+
+
+def p7_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.invalid(table(spark, sf, "parse_results"))
+
+
+def p7_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.rates(table(spark, sf, "parse_results"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf, "documents"), ["doc_id"])
 
@@ -66,8 +111,15 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
+    "p3_found": p3_found,
+    "p3_origins": p3_origins,
     "p4_found": p4_found,
     "p4_copies": p4_copies,
+    "p7_found": p7_found,
+    "p7_kinds": p7_kinds,
+    "p7_rates": p7_rates,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
