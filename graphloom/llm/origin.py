@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import re
+import string
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,79 +101,88 @@ def top(text: str) -> str:
     return "\n".join(out)
 
 
+def _indexes(name: str) -> list[int]:
+    """The trigrams of a name, as numbers below SYMBOLS ** 3."""
+    codes = [0, 0, *(_CODE[c] for c in name), 1]
+    return [(codes[i] * SYMBOLS + codes[i + 1]) * SYMBOLS + codes[i + 2] for i in range(len(codes) - 2)]
+
+
+_CODE = {c: i for i, c in enumerate("^\n$_" + string.digits + string.ascii_letters)}
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, text) to counts (family, kind, gram, n) of one partition: trigrams and styles of its files' names."""
+    """Rows (path, text) to counts (family, item, n) of one partition: trigrams, and styles (below 0), of its names."""
     words: dict[str, Counter] = {}
     for batch in batches:
         for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             lang = family(path)
-            if lang and text:
+            if lang and text and not is_data(text):
                 words.setdefault(lang, Counter()).update(names(text))
     for lang, counter in words.items():
-        grams, styles = Counter(), Counter()
+        items = Counter()
         for w, n in counter.items():
-            x = f"^^{w}\n"
-            for i in range(len(x) - 2):
-                grams[x[i : i + 3]] += n
+            for i in _indexes(w):
+                items[i] += n
             if s := style(w):
-                styles[s] += n
-        for kind, c in (("gram", grams), ("style", styles)):
-            if c:
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "family": [lang] * len(c),
-                        "kind": [kind] * len(c),
-                        "gram": list(c),
-                        "n": pa.array(list(c.values()), pa.int64()),
-                    }
-                )
+                items[STYLES[s]] += n
+        yield pa.RecordBatch.from_pydict(
+            {"family": [lang] * len(items), "item": pa.array(list(items), pa.int64()), "n": pa.array(list(items.values()), pa.int64())}
+        )
+
+
+STYLES = {"snake": -1, "camel": -2, "pascal": -3}
 
 
 class Names:
-    """Character trigram models of the names of each language."""
+    """Character trigram models of the names of each language: bits of each trigram, and how often each style occurs."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], styles: dict[str, dict[str, int]]):
-        self.counts, self.styles = counts, styles
-        self.before: dict[str, Counter] = {}
+    def __init__(self, counts: dict[str, dict[int, int]]):
+        self.costs: dict[str, array] = {}
         self.typical: dict[str, float] = {}
-        for lang, grams in counts.items():
-            before = Counter()
-            for g, n in grams.items():
-                before[g[:2]] += n
-            self.before[lang] = before
-            bits = sum(n * self.cost(lang, g) for g, n in grams.items())
-            self.typical[lang] = bits / max(1, sum(grams.values()))
+        self.styles: dict[str, dict[str, int]] = {}
+        for lang, items in counts.items():
+            n = np.zeros(SYMBOLS**3)
+            at = [i for i in items if i >= 0]
+            n[at] = [items[i] for i in at]
+            pairs = n.reshape(-1, SYMBOLS)
+            bits = -np.log2((pairs + SMOOTHING) / (pairs.sum(1, keepdims=True) + SMOOTHING * SYMBOLS)).ravel()
+            self.typical[lang] = float((n * bits).sum() / max(1.0, n.sum()))
+            self.costs[lang] = array("f", bits.astype(np.float32).tobytes())
+            self.styles[lang] = {s: items.get(i, 0) for s, i in STYLES.items()}
+        self._wrap()
+
+    def _wrap(self) -> None:
         self.bits = lru_cache(maxsize=1 << 17)(self._bits)
 
-    def cost(self, lang: str, gram: str) -> float:
-        n = self.counts[lang].get(gram, 0) + SMOOTHING
-        return -math.log2(n / (self.before[lang].get(gram[:2], 0) + SMOOTHING * SYMBOLS))
-
     def _bits(self, lang: str, name: str) -> float:
-        x = f"^^{name}\n"
-        return sum(self.cost(lang, x[i : i + 3]) for i in range(len(x) - 2)) / (len(x) - 2)
+        cost, at = self.costs[lang], _indexes(name)
+        return sum(cost[i] for i in at) / len(at)
 
     def __getstate__(self):
-        return self.counts, self.styles
+        return {k: v for k, v in self.__dict__.items() if k != "bits"}
 
     def __setstate__(self, state):
-        self.__init__(*state)
+        self.__dict__.update(state)
+        self._wrap()
 
 
 def train(files: DataFrame) -> Names:
-    """Models of all files (file_path, text), each counting a name once. Counts are summed in each partition before the
-    shuffle; what reaches the driver is bounded by SYMBOLS ** 3 trigrams and three styles for each known language."""
+    """Models of all files (file_path, text), each counting a name once.
+
+    Counts are summed in each partition before the shuffle. What reaches the driver, and the executors as models, is
+    bounded: SYMBOLS ** 3 numbers and three styles for each of the known languages.
+    """
     sums = (
         files.select("file_path", "text")
-        .mapInArrow(_count, "family string, kind string, gram string, n bigint")
-        .groupBy("family", "kind", "gram")
+        .mapInArrow(_count, "family string, item bigint, n bigint")
+        .groupBy("family", "item")
         .agg(F.sum("n").alias("n"))
+        .toArrow()
     )
-    counts: dict[str, dict[str, int]] = {}
-    styles: dict[str, dict[str, int]] = {}
-    for r in sums.collect():
-        (counts if r.kind == "gram" else styles).setdefault(r.family, {})[r.gram] = r.n
-    return Names(counts, styles)
+    counts: dict[str, dict[int, int]] = {}
+    for lang, item, n in zip(*(sums.column(i).to_pylist() for i in range(3)), strict=True):
+        counts.setdefault(lang, {})[item] = n
+    return Names(counts)
 
 
 def is_data(text: str) -> bool:
@@ -230,7 +241,7 @@ def judge(path: str | None, text: str | None, model: Names) -> str | None:
     if is_data(text):
         return "data"
     lang = family(path)
-    if lang in model.counts:
+    if lang in model.costs:
         own = names(text)
         if len(own) >= 8 and sum(map(len, own)) < MANGLED_LENGTH * len(own):
             bits = sum(model.bits(lang, w) for w in own) / len(own)
