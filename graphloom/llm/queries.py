@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import credentials, dedup, mixing, origin, syntax, tokenizer
+from graphloom.llm import credentials, dedup, mixing, origin, privacy, syntax, tokenizer
 from graphloom.runtime import Scratch, table
 
 
@@ -110,6 +110,16 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(*_mix(spark, sf))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return privacy.scan(docs, privacy.learn(docs.select("text").where("text is not null and text <> ''")))
+
+
+def p10_sanitised(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return privacy.sanitised(docs, privacy.learn(docs.select("text").where("text is not null and text <> ''")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
@@ -123,6 +133,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_sanitised": p10_sanitised,
 }
 ORACLE = {
     "p4_found": _P4 + "SELECT kept_id, finding_id AS copy_id FROM g WHERE finding_id <> kept_id",
