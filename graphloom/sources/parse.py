@@ -135,7 +135,7 @@ def script(text: str, path: str) -> dict:
         after = re.match(r"\s*(?::\s*[\w<>\[\]|., {}]+?)?\s*\{", masked[close + 1 : close + 200])
         if after and not re.match(r"\s*=>", masked[close + 1 : close + 20]):
             body = close + after.end()
-            add(m.start(), m[1], pair.get(body, close), _parameters(text, masked, at, pair))
+            add(m.start() + len(m[0]) - len(m[0].lstrip()), m[1], pair.get(body, close), _parameters(text, masked, at, pair))
     for m in _ARROW.finditer(masked):
         body = re.match(r"\s*\{", masked[m.end() : m.end() + 20])
         end = pair.get(m.end() + body.end() - 1, m.end()) if body else masked.find("\n", m.end()) if masked.find("\n", m.end()) > 0 else len(text)

@@ -30,19 +30,56 @@ def included(path: Column, ignored: list[str] = IGNORED) -> Column:
 def scan(spark: SparkSession, root: str, known_only: bool = True, ignored: list[str] = IGNORED) -> DataFrame:
     """(path, language, content_hash, text) of the files below ``root`` that are included; with ``known_only`` those of a
     known language. Bytes that are no UTF-8 become replacement characters. The order of files is that of their paths."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    overlooked = _overlooked(spark, root)
+    if overlooked:
+        files = files.unionByName(_read(spark, overlooked))
     plain = re.sub(r"^file:/*", "/", root)
     path = relative_path(F.regexp_replace("path", r"^file:/+", "/"), plain)
     rows = files.select(path.alias("path"), "content").where(included(F.col("path"), ignored))
     rows = rows.withColumn("language", language(F.col("path")))
     if known_only:
         rows = rows.where("language is not null")
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")) if _lenient(spark) else F.col("content").cast("string"), "\r\n?", "\n")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n")
     return rows.select("path", "language", content_hash(F.col("content")).alias("content_hash"), text.alias("text"))
 
 
-def _lenient(spark: SparkSession) -> bool:
-    return str(spark.conf.get("spark.sql.legacy.codingErrorAction", "false")).lower() == "true"
+def _overlooked(spark: SparkSession, root: str) -> list[str]:
+    """Files that Spark's listing passes over because a part of their path begins with a dot or an underscore. There are
+    few in a source tree once the ignored folders are taken away."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    skipped = re.compile("|".join(fnmatch.translate(p) for p in IGNORED))
+    out, todo = [], [(path, False)]
+    while todo:
+        folder, inside = todo.pop()
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            hidden = inside or name[0] in "._"
+            if skipped.match(name):
+                continue
+            if status.isDirectory():
+                todo.append((status.getPath(), hidden))
+            elif hidden:
+                out.append(status.getPath().toString())
+    return sorted(out)
+
+
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    def run(batches):
+        from pyarrow import fs
+
+        for pdf in batches:
+            content = []
+            for p in pdf.path:
+                system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", p))
+                with system.open_input_stream(place) as f:
+                    content.append(f.read())
+            yield pdf.assign(content=content)
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    return listed.mapInPandas(run, "path string, content binary")
 
 
 def manifest(files: DataFrame, name: str = "package.json") -> DataFrame:
