@@ -18,8 +18,10 @@ MAX_BLOCKS = 1 << 11  # 16 MB a filter at most
 
 
 def plain_text(col: Column) -> Column:
-    """Letters and digits only, without letter case. Upper before lower case, so that ß equals SS."""
-    return F.lower(F.upper(F.regexp_replace(col, r"[^\p{L}\p{N}]+", "")))
+    """Letters and digits only, without letter case; ß equals SS, and forms of one letter that have the same capital are
+    one."""
+    low = F.lower(F.regexp_replace(col, r"[^\p{L}\p{N}]+", ""))
+    return F.replace(F.translate(low, "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
 
 
 def canonical_title(col: Column) -> Column:

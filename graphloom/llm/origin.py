@@ -29,6 +29,8 @@ SMOOTHING = 0.1
 MANGLED_BITS = 1.3
 #: and are on average shorter than this.
 MANGLED_LENGTH = 5.0
+#: or if so many of them have one or two characters, as where a language has hardly any other files.
+TINY_SHARE = 0.6
 #: Data saved as code: at least so many literals, making up this share of the visible characters, and no more than so
 #: many different names around them.
 DATA_LITERALS, DATA_SHARE, DATA_NAMES = 6, 0.6, 12
@@ -243,10 +245,10 @@ def judge(path: str | None, text: str | None, model: Names) -> str | None:
     lang = family(path)
     if lang in model.costs:
         own = names(text)
-        if len(own) >= 8 and sum(map(len, own)) < MANGLED_LENGTH * len(own):
+        if len(own) >= 8 and sum(map(len, own)) < MANGLED_LENGTH * len(own) and _dense(text):
             bits = sum(model.bits(lang, w) for w in own) / len(own)
-            if bits > MANGLED_BITS * model.typical[lang]:
-                return "minified" if _dense(text) else None
+            if bits > MANGLED_BITS * model.typical[lang] or sum(len(w) < 3 for w in own) > TINY_SHARE * len(own):
+                return "minified"
         if (VERSION.search(head) or LICENSE.search(head)) and foreign(lang, own, model.styles):
             return "vendored"
     return "generated" if is_template(text) else None

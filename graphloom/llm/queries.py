@@ -69,11 +69,11 @@ fields AS (
 canon AS (
   SELECT finding_id,
     CASE WHEN len(fs) > 0 AND len(list_filter(fs, lambda f: regexp_matches(f, '[\\p{L}\\p{N}][^\\p{L}\\p{N}=:]*[=:]'))) = len(fs)
-    THEN lower(upper(regexp_replace(head, '[^\\p{L}\\p{N}]+', '', 'g'))) || array_to_string(list_sort(
-      list_transform(fs, lambda f: lower(upper(regexp_replace(f, '[^\\p{L}\\p{N}]+', '', 'g'))))), '')
-    ELSE lower(upper(regexp_replace(title, '[^\\p{L}\\p{N}]+', '', 'g'))) END AS t,
-    lower(upper(regexp_replace(file_path, '[^\\p{L}\\p{N}]+', '', 'g'))) AS f,
-    lower(upper(regexp_replace(rule_id, '[^\\p{L}\\p{N}]+', '', 'g'))) AS r FROM fields),
+    THEN replace(translate(lower(regexp_replace(head, '[^\\p{L}\\p{N}]+', '', 'g')), 'ςſ', 'σs'), 'ß', 'ss') || array_to_string(list_sort(
+      list_transform(fs, lambda f: replace(translate(lower(regexp_replace(f, '[^\\p{L}\\p{N}]+', '', 'g')), 'ςſ', 'σs'), 'ß', 'ss'))), '')
+    ELSE replace(translate(lower(regexp_replace(title, '[^\\p{L}\\p{N}]+', '', 'g')), 'ςſ', 'σs'), 'ß', 'ss') END AS t,
+    replace(translate(lower(regexp_replace(file_path, '[^\\p{L}\\p{N}]+', '', 'g')), 'ςſ', 'σs'), 'ß', 'ss') AS f,
+    replace(translate(lower(regexp_replace(rule_id, '[^\\p{L}\\p{N}]+', '', 'g')), 'ςſ', 'σs'), 'ß', 'ss') AS r FROM fields),
 g AS (SELECT finding_id, min(finding_id) OVER w AS kept_id, count(*) OVER w AS copies FROM canon WINDOW w AS (PARTITION BY t, f, r))
 """
 
