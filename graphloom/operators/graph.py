@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +114,10 @@ def goal_subgraph(edges: DataFrame, seeds: DataFrame, goal: str, depth: int = 5)
     return reach(edges, seeds, depth, GOAL_EDGES.get(goal, GOAL_EDGES["full"]), both_ways=True, include_seeds=True)
 
 
+#: A seed whose subgraph has at most this many edges is ranked within one task; larger ones over all tasks.
+IN_ONE_TASK = 200_000
+
+
 def pagerank(
     edges: DataFrame, members: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, keep_every: int = 5
 ) -> DataFrame:
@@ -122,7 +128,7 @@ def pagerank(
     ``tolerance`` for each node, or after ``iterations``; a seed whose scores have not settled by then gets uniform ones
     (with ``tolerance`` None the number of iterations is fixed and its scores stand). Every step is one aggregate keyed by
     (seed, node) with partial sums, so a hub's inbound mass is summed before it is moved; the plan is cut every few
-    steps.
+    steps. If every seed's subgraph is small, which is counted first, each is iterated within a task instead.
     """
     scratch = Scratch(edges.sparkSession, "pagerank")
     weighted = edges.select("source", "target", F.coalesce("weight", F.lit(1.0)).alias("weight")).where("weight > 0")
@@ -137,6 +143,8 @@ def pagerank(
             "seed", F.col("source").alias("node"), "target", (F.col("weight") / F.col("all")).alias("share")
         )
     )
+    if (walk.groupBy("seed").count().agg(F.max("count")).first()[0] or 0) <= IN_ONE_TASK:
+        return _settled(members, walk, alpha, iterations, tolerance)
     size = members.groupBy("seed").agg(F.count("*").alias("n"))
     dangling = members.join(total.select("seed", F.col("source").alias("node")), ["seed", "node"], "left_anti").select(
         "seed", "node", F.lit(True).alias("ends")
@@ -171,6 +179,30 @@ def pagerank(
     return score.join(settled, "seed").select("seed", "node", F.when(F.col("open"), 1 / F.col("n")).otherwise(F.col("score")).alias("score"))
 
 
+def _settled(members: DataFrame, walk: DataFrame, alpha: float, iterations: int, tolerance: float | None) -> DataFrame:
+    def rank(key, mine: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        nodes = mine.node.drop_duplicates().reset_index(drop=True)
+        n, at = len(nodes), pd.Series(nodes.index, index=nodes)
+        a, b, share = at[steps.node].to_numpy(), at[steps.target].to_numpy(), steps.share.to_numpy()
+        ends, home = np.ones(n, bool), np.zeros(n)
+        ends[a] = False
+        home[at[key[0]]] = 1.0
+        score, settled = np.full(n, 1 / n), tolerance is None
+        for _ in range(iterations):
+            moved = np.bincount(b, score[a] * share, n) * alpha + home * (alpha * score[ends].sum() + 1 - alpha)
+            change, score = np.abs(moved - score).sum(), moved
+            if tolerance is not None and change < n * tolerance:
+                settled = True
+                break
+        return pd.DataFrame({"seed": key[0], "node": nodes, "score": score if settled else 1 / n})
+
+    pairs = members.select("seed", "node").groupBy("seed").cogroup(walk.groupBy("seed"))
+    return pairs.applyInPandas(rank, "seed string, node string, score double")
+
+
+PEELS = 4
+
+
 def cycles(edges: DataFrame, longest: int, limit: int | None = None) -> DataFrame:
     """(cycle): simple cycles of up to ``longest`` nodes, each once, beginning with its smallest node, in order.
 
@@ -180,7 +212,7 @@ def cycles(edges: DataFrame, longest: int, limit: int | None = None) -> DataFram
     scratch = Scratch(edges.sparkSession, "cycles")
     e = scratch.put(edges.select("source", "target").where("source is not null and target is not null").distinct())
     n, rounds = e.count(), 0
-    while n and rounds < 50:
+    while n and rounds < PEELS:
         inner = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
         inner = scratch.put(inner.join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
         left = inner.count()

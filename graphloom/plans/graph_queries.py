@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import ident, text
 from graphloom.operators import context, graph, reports, rules
-from graphloom.runtime import Scratch, table
+from graphloom.runtime import Scratch, spread, table
 from graphloom.schema import BINARY_EXTENSIONS, GOAL_BOOSTS, IGNORED, LANGUAGES, LAYERS
 from graphloom.sources import index, parse, scan
 from graphloom.streaming import changes
@@ -432,17 +432,17 @@ def strip_comments(spark, sf):
 
 @query()
 def prune_imports(spark, sf):
-    return _files(spark, sf).select("file_path", text.prune_imports(F.col("text")).alias("text"))
+    return spread(_files(spark, sf)).select("file_path", text.prune_imports(F.col("text")).alias("text"))
 
 
 @query()
 def summarize_methods(spark, sf):
-    return _files(spark, sf).select("file_path", text.summarize_methods(F.col("text"), {"constructor"}).alias("text"))
+    return spread(_files(spark, sf)).select("file_path", text.summarize_methods(F.col("text"), {"constructor"}).alias("text"))
 
 
 @query()
 def compressed_sources(spark, sf):
-    rows = _files(spark, sf).select("file_path", "text", text.compress(F.col("text"), 200, set()).alias("short"))
+    rows = spread(_files(spark, sf)).select("file_path", "text", text.compress(F.col("text"), 200, set()).alias("short"))
     before, after = text.token_count(F.col("text")), text.token_count(F.col("short"))
     return rows.select("file_path", before.alias("tokens_before"), after.alias("tokens_after"), "short")
 

@@ -86,5 +86,11 @@ def reference_key(col):
     return F.when(key != "", key)
 
 
-def bucket_rows(n: int, per: int = 200_000, least: int = 1, most: int = 20_000) -> int:
-    return max(least, min(most, -(-n // per)))
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores, before work in Python.
+
+    A table of few files or row groups would else be worked on by few tasks. Large tables have more partitions than that
+    and are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

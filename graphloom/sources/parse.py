@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from graphloom.runtime import spread
 from graphloom.schema import EXPORT, IMPORT, PARSE_ERROR, ROUTE, SYMBOL
 
 SCHEMA = f"path string, language string, symbols array<{SYMBOL}>, imports array<{IMPORT}>, exports array<{EXPORT}>, errors array<{PARSE_ERROR}>, routes array<{ROUTE}>"
@@ -243,4 +244,4 @@ def parsed(files: DataFrame) -> DataFrame:
             rows = [{"path": p, "language": lang, **parse(t, lang, p)} for p, lang, t in zip(pdf.path, pdf.language, pdf.text, strict=True)]
             yield pd.DataFrame(rows, columns=["path", "language", "symbols", "imports", "exports", "errors", "routes"])
 
-    return files.select("path", "language", "text").mapInPandas(run, SCHEMA)
+    return spread(files.select("path", "language", "text")).mapInPandas(run, SCHEMA)

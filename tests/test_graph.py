@@ -71,7 +71,9 @@ def test_reach_and_neighbors(spark, random_edges):
     assert G.goal_subgraph(e, seeds.limit(1), "performance", 0).count() == 1
 
 
-def test_pagerank_matches_power_iteration(spark, random_edges):
+@pytest.mark.parametrize("small", [0, G.IN_ONE_TASK])
+def test_pagerank_matches_power_iteration(spark, random_edges, monkeypatch, small):
+    monkeypatch.setattr(G, "IN_ONE_TASK", small)
     pairs, e = random_edges
     members = ["n00", "n01", "n02", "n03", "n04", "n05", "n06", "n07", "n08"]
     index = {m: i for i, m in enumerate(members)}
