@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from graphloom.llm.tokenizer import encoder
+from graphloom.runtime import spread
 
 #: Characters per subword below which a string is unnatural: prose and identifiers have 3 to 6, random strings 1 to 2.
 NATURAL = 2.6
@@ -441,7 +442,7 @@ def scan(code: DataFrame, row_id: str, path: str = "file_path", text: str = "sou
     together. Null and empty texts have no findings; a null path stands for configuration.
     """
     cols = code.select(F.col(row_id).cast("string").alias("row_id"), F.col(path).alias("path"), F.col(text).alias("text"))
-    return cols.where("text is not null").mapInArrow(_batches, "row_id string, line_no int, kind string").distinct()
+    return spread(cols.where("text is not null")).mapInArrow(_batches, "row_id string, line_no int, kind string").distinct()
 
 
 @F.pandas_udf(StringType())

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import spread
+
 # File name extensions by the language whose names they hold.
 FAMILY = {
     "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
@@ -175,7 +177,7 @@ def train(files: DataFrame) -> Names:
     bounded: SYMBOLS ** 3 numbers and three styles for each of the known languages.
     """
     sums = (
-        files.select("file_path", "text")
+        spread(files.select("file_path", "text"))
         .mapInArrow(_count, "family string, item bigint, n bigint")
         .groupBy("family", "item")
         .agg(F.sum("n").alias("n"))
@@ -274,7 +276,7 @@ def classify(files: DataFrame, model: Names) -> DataFrame:
                 ["file_id", "origin"],
             )
 
-    return files.select("file_id", "file_path", "text").mapInArrow(run, "file_id string, origin string")
+    return spread(files.select("file_id", "file_path", "text")).mapInArrow(run, "file_id string, origin string")
 
 
 def origins(index: DataFrame, texts: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import Scratch
+from graphloom.runtime import Scratch, spread
 
 #: Bits by which seeing a word must raise the odds of a person being named for the word to count as part of a name.
 DISCLOSURE_BITS = 3.5
@@ -233,7 +233,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def terms(docs: DataFrame) -> DataFrame:
     """Corpus-wide counts of all words and their roles in names, partial sums before the shuffle."""
     return (
-        docs.mapInArrow(_count, "term string, n bigint, given bigint, family bigint")
+        spread(docs).mapInArrow(_count, "term string, n bigint, given bigint, family bigint")
         .groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("given").alias("given"), F.sum("family").alias("family"))
     )
@@ -421,7 +421,7 @@ def scan(docs: DataFrame, known: Terms, doc_id: str = "doc_id", text: str = "tex
             )
 
     cols = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null and text <> ''")
-    return cols.mapInArrow(run, f"doc_id {kind}, pii_type string, value string").distinct()
+    return spread(cols).mapInArrow(run, f"doc_id {kind}, pii_type string, value string").distinct()
 
 
 def sanitised(docs: DataFrame, known: Terms, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -434,4 +434,4 @@ def sanitised(docs: DataFrame, known: Terms, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, text string")
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, f"doc_id {kind}, text string")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import grammar
+from graphloom.runtime import spread
 
 # The language each file name extension stands for.
 LANGUAGE = {
@@ -80,7 +81,7 @@ def invalid(files: DataFrame) -> DataFrame:
             names = ("file_id", "project_id", "language", "kind", "parses_as", "message")
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], list(names))
 
-    return files.select("file_id", "project_id", "file_path", "text").mapInArrow(run, SCHEMA)
+    return spread(files.select("file_id", "project_id", "file_path", "text")).mapInArrow(run, SCHEMA)
 
 
 def rates(files: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ from pathlib import Path
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import spread
+
 VOCABULARY = os.environ.get("GRAPHLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 CHUNK = 8192
 OVERLAP = 256
@@ -161,7 +163,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str = VOC
     rows = docs.select(kept.alias("keep"), F.col(text).alias("text"))
     long = F.coalesce(F.length("text") > CHUNK, F.lit(False))
     keep_type = rows.schema["keep"].dataType.simpleString()
-    short = rows.where(~long).mapInArrow(_encode(path, count_only), f"keep {keep_type}, out {kind}")
+    short = spread(rows.where(~long)).mapInArrow(_encode(path, count_only), f"keep {keep_type}, out {kind}")
     numbered = rows.where(long).withColumn("rid", F.monotonically_increasing_id())
     parts = (
         numbered.select("rid", "text")
