@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 NODES = "id string, type string, qualified_name string, file_path string, line_start int, line_end int, provenance string, kind string, http_method string, http_path string, metadata map<string,string>, seq long"
 EDGES = "source string, target string, type string, weight double, provenance string, metadata map<string,string>, seq long"
 ENDPOINTS = "id string, method string, path string, handler string, file_path string, line_start int, line_end int, framework string, middleware array<string>, decorators array<string>, metadata map<string,string>"
-SYMBOL = "struct<name:string,qualified_name:string,kind:string,file_path:string,line_start:int,line_end:int,decorators:array<string>,parameters:array<string>,parent:string>"
+SYMBOL = "struct<name:string,qualified_name:string,kind:string,file_path:string,line_start:int,line_end:int,decorators:array<string>,parameters:array<string>,parent:string,calls:array<string>>"
 IMPORT = "struct<module:string,names:array<string>,is_default:boolean,is_namespace:boolean,alias:string,line:int>"
 EXPORT = "struct<name:string,is_default:boolean,line:int>"
 PARSE_ERROR = "struct<message:string,line:int,col:int>"

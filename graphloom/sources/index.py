@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions import text as T
 from graphloom.functions.ident import endpoint_id, endpoint_name, node_id, role
 from graphloom.operators.graph import latest
 from graphloom.sources import parse, scan
@@ -78,9 +77,8 @@ def build(parsed: DataFrame, files: DataFrame, prefixes: dict[str, str] | None =
     resolved = imports.join(scan.resolve_imports(imports.select("file_path", "module").distinct(), files, prefixes), ["file_path", "module"])
     f, t = F.col("file_path"), F.col("resolved")
     edges.append(_edge(resolved, node_id(lit("file"), f, f), node_id(lit("file"), t, t), "depends_on", f, 2, F.col("at"), F.create_map(lit("module"), "module")))
-    bodies = syms.where("s.kind in ('method', 'function')").join(files.select("path", "text"), "path")
-    body = T.line_slice(F.col("text"), F.col("s.line_start"), F.col("s.line_end"))
-    calls = bodies.select("path", "at", "s", F.posexplode(T.call_sites(body)).alias("k", "callee"))
+    bodies = syms.where("s.kind in ('method', 'function')")
+    calls = bodies.select("path", "at", "s", F.posexplode("s.calls").alias("k", "callee"))
     edges.append(
         _edge(calls, sid, node_id(lit("method"), F.col("callee"), p), "calls", p, 3, F.col("at") * 1000 + F.least("k", lit(999)),
               F.create_map(lit("caller"), F.col("s.qualified_name"), lit("callee"), F.col("callee")))

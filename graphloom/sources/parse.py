@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from graphloom.functions.text import CALL
 from graphloom.runtime import spread
 from graphloom.schema import EXPORT, IMPORT, PARSE_ERROR, ROUTE, SYMBOL
 
@@ -25,6 +26,7 @@ _ARROW = re.compile(r"(?<![\w.$)\]])(\w+)\s*=>")
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "function", "new", "typeof", "await", "throw", "super", "else", "do", "with", "in", "of", "yield", "async", "delete", "void", "instanceof", "case"}
 _IMPORT = re.compile(r"^[ \t]*import\b[^;'\"]*(['\"])", re.M)
 _EXPORT = re.compile(r"^[ \t]*export\s+(default\s+)?(?:abstract\s+)?(?:async\s+)?(?:class|function)\s*\*?\s*(\w+)", re.M)
+_CALL = re.compile(CALL)
 _DECORATOR = re.compile(r"@([\w.]+(?:\((?:[^()]|\([^()]*\))*\))?)")
 _JAVA_METHOD = re.compile(r"(?<![\w.])(?:[\w<>\[\],.?@ ]+[\w>\]]\s+)(\w+)\s*\(([^()]*)\)\s*(?:throws\s+[\w., ]+)?\s*[{;]")
 # Names of objects on which routes are declared, and the methods that declare them.
@@ -73,7 +75,7 @@ def _symbol(name, kind, path, start, end, decorators=(), parameters=(), parent=N
     qualified = f"{parent}.{name}" if parent else name
     return {
         "name": name, "qualified_name": qualified, "kind": kind, "file_path": path, "line_start": start, "line_end": end,
-        "decorators": list(decorators), "parameters": list(parameters), "parent": parent,
+        "decorators": list(decorators), "parameters": list(parameters), "parent": parent, "calls": [],
     }
 
 
@@ -231,9 +233,15 @@ def parse(text: str | None, language: str | None, path: str) -> dict:
     """All that one file declares. Go and C# files are known but declare nothing here; unknown languages neither."""
     if not text:
         return NOTHING
-    if language in ("typescript", "tsx", "javascript"):
-        return script(text, path)
-    return python(text, path) if language == "python" else java(text, path) if language == "java" else NOTHING
+    readers = {"typescript": script, "tsx": script, "javascript": script, "python": python, "java": java}
+    if language not in readers:
+        return NOTHING
+    out = readers[language](text, path)
+    lines = text.split("\n")
+    for s in out["symbols"]:  # receiver.method of each call in the body
+        if s["kind"] != "class":
+            s["calls"] = [f"{a}.{b}" for a, b in _CALL.findall("\n".join(lines[s["line_start"] - 1 : s["line_end"]]))]
+    return out
 
 
 def parsed(files: DataFrame) -> DataFrame:

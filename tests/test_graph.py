@@ -122,6 +122,21 @@ def test_greedy_goes_on_after_what_does_not_fit(spark):
     assert got == {("k", "a"), ("k", "c"), ("k", "d")}
 
 
+def test_greedy_matches_a_plain_fold(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), i, float(rng.randrange(9)), rng.choice([0, 1, 2, 3, 7, 20, 60, 130])) for i in range(900)]
+    df = spark.createDataFrame(rows, "key string, item long, score double, cost int")
+    want = set()
+    for key in "ab":
+        used = 0
+        for _, item, cost in sorted((-s, i, c) for k, i, s, c in rows if k == key):
+            if used + cost <= 100:
+                used += cost
+                want.add((key, item))
+    got = [(r.key, r.item) for r in C.greedy_budget(df, "key", [-F.col("score"), F.col("item")], "cost", 100, "item").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_snippets_cut_the_first_if_it_is_too_long(spark):
     n = nodes(spark, [("a", "service", "A", "f", 1), ("b", "class", "B", "g", 1), ("c", "file", "f", "f", 1), ("d", "class", "D", "missing", 1)])
     files = spark.createDataFrame([("f", "one two three\nfour five\nsix"), ("g", "x\ny"), ("h", None)], "file_path string, text string")
