@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.skew import join_on_unique
+from graphloom.runtime import Scratch
 
 HASHES = 3
 BLOCK_BITS = 1 << 16
@@ -112,10 +113,11 @@ def collapse(records: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFr
     """
     spark = records.sparkSession
     tagged = F.to_json(F.struct(*(c.alias(n) for n, c in keys.items())), {"ignoreNullFields": "false"})
-    rows = records.where(F.col(id_col).isNotNull()).select(
+    hashed = records.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("copy_id"), F.unhex(F.md5(tagged)).alias("key")
     ).withColumn("h", F.xxhash64("key"))
-    bits = repeat_filter(rows.select("h"), records.count())
+    rows = Scratch(spark, "collapse").put(hashed)  # the canonical forms are made once
+    bits = repeat_filter(rows.select("h"), rows.count())
     shared = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
