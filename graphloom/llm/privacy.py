@@ -93,7 +93,7 @@ _INITIAL = rf"(?:{_LETTER}\.)"
 SPAN = rf"(?:(?P<f1>(?:{_P}{GAP})*{_N}),{GAP}(?P<g1>{_N}|{_INITIAL})(?!\.)|(?P<g2>{_INITIAL}(?:{GAP}?{_INITIAL})?|{_N}){GAP}(?P<f2>(?:{_P}{GAP})*{_N}))"
 #: Places where a person is named, as forms of letters, logs, code and records have them.
 ANCHORS = [
-    re.compile(rf"(?i:\b(?:reviewed|signed-off|acked|co-authored|authored|reported|tested|suggested|approved|written|opened|closed|assigned)-by:|@author|\b(?:assignee|author|owner|reviewer|reporter|contact|customer|caller|name|from|attn|cc|user)\b ?[:=;])[ \t]*[\"'<]?{SPAN}"),
+    re.compile(rf"(?i:\b(?:reviewed|signed-off|acked|co-authored|authored|reported|tested|suggested|approved|written|opened|closed|assigned)-by:|@author|\b(?:assignee|author|owner|reviewer|reporter|contact|customer|caller|name|from|attn|cc|user)\b ?[:=;])[ \t]*[\"'<]?{SPAN}(?!\.\w|\()"),
     re.compile(rf"(?<!\d )(?<!\w)(?:Mrs?|MRS?|Ms|Mx|Dr|DR|Prof|PROF|Herrn?|HERRN?|Frau|FRAU|Mme|Mlle|Sra?|Señora?|Señor|Monsieur|Madame)\b\.?[ \t]+{SPAN}"),
     re.compile(rf"(?i:(?:(?:kind|best|warm|many) regards|best|thanks|cheers|yours(?: sincerely)?|sincerely|mit freundlichen grüßen|viele grüße|cordialement|bien à vous|saludos|un saludo|atentamente),)\s+{SPAN}"),
     re.compile(rf"(?i:\b(?:cc|caller|spoke with|talked to|spoken with|met with|attn))[ \t]+{SPAN}"),
@@ -105,6 +105,34 @@ BEFORE = re.compile(rf"(?<![\w'.-]){SPAN}\Z")
 AT = re.compile(r"@|[\[({<]\s?at\s?[\])}>]", re.I)
 
 
+#: What a text must hold, in lower case, for each pattern above to be tried on it.
+ANCHOR_WORDS = [
+    ("-by:", "@author", "assignee", "author", "owner", "reviewer", "reporter", "contact", "customer", "caller", "name", "from", "attn", "cc", "user"),
+    ("mr", "ms", "mx", "dr", "prof", "herr", "frau", "mme", "mlle", "sr", "señor", "monsieur", "madame"),
+    ("regards,", "best,", "thanks,", "cheers,", "yours,", "sincerely,", "grüßen,", "grüße,", "cordialement,", "à vous,", "saludos,", "saludo,", "atentamente,"),
+    ("cc", "caller", "spoke", "talked", "met with", "attn"),
+    ("as ", "per ", "ask"),
+]
+ID_WORDS = (
+    "passport", "passnummer", "reisepass", "pasaporte", "passeport", "ausweis", "id card", "identity", "personal id", "tax id", "steuer",
+    "national insurance", "social security", "ssn", "nino", "nie", "dni", "nif", "cpf", "curp", "versicherungsnummer",
+)
+ADDRESS_WORDS = [
+    ("street", "str", "st", "road", "rd", "lane", "ln", "avenue", "ave", "drive", "dr", "court", "ct", "way", "place", "pl", "close", "cres", "sq", "ter", "boulevard", "blvd", "hill", "row", "mews", "garden", "grove", "park", "pk", "highway", "hwy", "walk", "wharf", "quay", "green", "rise"),
+    ("rue", "avenue", "av.", "boulevard", "bd", "place", "chemin", "impasse", "allée", "quai", "cours", "route", "passage", "square"),
+    ("calle", "c/", "avenida", "avda", "av.", "plaza", "paseo", "camino", "carretera", "ronda", "via", "piazza", "corso", "rua"),
+    ("straße", "strasse", "str.", "gasse", "allee", "weg", "platz", "ring", "damm", "ufer", "steig", "hof", "graben", "laan", "straat", "plein", "gracht"),
+    (", ",),
+]
+#: A post code before a town, as all address patterns but the first end in one; a number and a comma before it.
+_TOWN_CODE = re.compile(r", (?:\d{4,6}|[A-Z]{1,2}\d[\dA-Z]? ?\d[A-Z]{2}|\d{4,6}-\d{3,4}) [A-ZÀ-Þ]|\d \d{4,6} [A-ZÀ-Þ]|[a-zà-ÿ] \d{5} [A-ZÀ-Þ]")
+_NUMBER_STREET = re.compile(r"\d[A-Za-z]?,? [A-ZÀ-Þ][^,\n]{2,60},")
+
+
+def holds(low: str, words: tuple[str, ...]) -> bool:
+    return any(w in low for w in words)
+
+
 @lru_cache(maxsize=1 << 17)
 def norm(word: str) -> str:
     return unicodedata.normalize("NFC", word).lower().replace("\u2019", "'").replace("\u2011", "-")
@@ -127,12 +155,13 @@ def _structured(text: str) -> list[Pii]:
             taken.append((lo, hi))
             out.append(Pii(lo, hi, kind))
 
-    if "@" in text or "at" in text.lower():
+    low = text.lower()
+    if AT.search(text) or " dot " in low:
         for m in EMAIL.finditer(text):
             add(m.start(), m.end(), "email")
     if not any(c.isdigit() for c in text):
         return out
-    for m in ID_LABEL.finditer(text):
+    for m in ID_LABEL.finditer(text) if holds(low, ID_WORDS) else ():
         value = ID_NUMBER.match(text, m.end()) or LABELLED.match(text, m.end())
         if value and len(re.sub(r"\W", "", value[0])) >= 6 and not re.fullmatch(r"\d{4}-\d\d-\d\d.*", value[0]):
             add(value.start(), value.end(), "id_number")
@@ -152,7 +181,10 @@ def _addresses(text: str, pairs) -> Iterator[tuple[int, int, str, str | None]]:
     """(start, end, town, second word) of the addresses in a text; ``pairs`` says which second words belong to a town."""
     if "," not in text:
         return
-    for pattern in ADDRESS:
+    low, coded, numbered = text.lower(), _TOWN_CODE.search(text), _NUMBER_STREET.search(text)
+    for i, pattern in enumerate(ADDRESS):
+        if not (coded if i else numbered) or not holds(low, ADDRESS_WORDS[i]):
+            continue
         for m in pattern.finditer(text):
             groups = m.groupdict()
             rest = m["rest"].replace("-", " ").split()
@@ -176,8 +208,9 @@ def _head(span: str) -> str:
 def _anchored(text: str) -> Iterator[tuple[str | None, str]]:
     """(given name or None for an initial, family name) of the spans in places where a person is named."""
     seen = set()
-    for pattern in ANCHORS:
-        for m in pattern.finditer(text):
+    low = text.lower()
+    for pattern, needed in zip(ANCHORS, ANCHOR_WORDS, strict=True):
+        for m in pattern.finditer(text) if holds(low, needed) else ():
             which = "1" if m["f1"] else "2"
             at = m.start("f" + which)
             if at in seen:
@@ -208,7 +241,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, n, given, family = Counter(), Counter(), Counter(), Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            raw.update(WORD.findall(EMAIL.sub(" ", text) if AT.search(text) else text))
+            raw.update(WORD.findall(EMAIL.sub(" ", text) if AT.search(text) or " dot " in text.lower() else text))
             for g, f in _anchored(text):
                 family[f] += 1
                 if g:
@@ -322,6 +355,8 @@ _SEP = re.compile(rf"(?:,)?{GAP}|\.{GAP}?")
 
 def _names(text: str, known: Terms, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Spans of full names: disclosing words in the order and with the signs of a name."""
+    if not any(known.has("family", norm(w)) for w in set(WORD.findall(text))):
+        return
     words = [(m.start(), m.end(), norm(m[0])) for m in WORD.finditer(text)]
     family = [known.has("family", w) for _, _, w in words]
     given = [known.has("given", w) for _, _, w in words]
