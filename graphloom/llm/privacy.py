@@ -87,7 +87,7 @@ ADDRESS = [
 ]
 
 _N = rf"(?:{WORD.pattern})"
-_P = r"(?:" + "|".join(sorted(PARTICLES)) + r")"
+_P = r"(?i:" + "|".join(sorted(PARTICLES)) + r")"
 _INITIAL = rf"(?:{_LETTER}\.)"
 #: A span that may be a name: given and family name, family and given name, or an initial in place of the given name.
 SPAN = rf"(?:(?P<f1>(?:{_P}{GAP})*{_N}),{GAP}(?P<g1>{_N}|{_INITIAL})(?!\.)|(?P<g2>{_INITIAL}(?:{GAP}?{_INITIAL})?|{_N}){GAP}(?P<f2>(?:{_P}{GAP})*{_N}))"
