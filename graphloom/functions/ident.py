@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.schema import LANGUAGES, SEVERITIES
@@ -90,3 +90,18 @@ def relative_path(path: Column, root: str) -> Column:
     """The path below ``root``; a path elsewhere stays as it is."""
     root = root.rstrip("/") + "/"
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, 1 << 20)).otherwise(path)
+
+
+def random_id() -> Column:
+    """Eight random hex digits. They differ at each evaluation; write rows down before they are used twice."""
+    return F.substring(F.uuid(), 1, 8)
+
+
+def register(spark: SparkSession) -> None:
+    """node_id, endpoint_id and severity_rank as SQL functions of a session."""
+    text = {"node_id": "kind string, name string, file string", "endpoint_id": "method string, path string, handler string, file string"}
+    for name, params in text.items():
+        args = ", ".join(p.split()[0] for p in params.split(", "))
+        spark.sql(f"create or replace temporary function {name}({params}) returns string return substring(sha2(concat_ws(':', {args}), 256), 1, 16)")
+    ranks = " ".join(f"when '{s}' then {i}" for i, s in enumerate(SEVERITIES))
+    spark.sql(f"create or replace temporary function severity_rank(s string) returns int return case lower(s) {ranks} else {len(SEVERITIES)} end")

@@ -610,6 +610,20 @@ def move_explode(spark, sf):
     return changes.exploded_moves(f).select("path", "type", "content_hash").distinct()
 
 
+_VERSIONS = """v AS (SELECT file_path AS path, arg_min(content_hash, (updated_at, content_hash)) AS was, arg_max(content_hash, (updated_at, content_hash)) AS is_now, count(DISTINCT updated_at) AS n, max(updated_at) AS t FROM file_index GROUP BY 1)"""
+
+
+@query(f"WITH {_VERSIONS} SELECT path, CASE WHEN n > 1 THEN 'modified' ELSE 'created' END AS type, CAST(NULL AS VARCHAR) AS old_path, is_now AS content_hash FROM v WHERE n = 1 OR was <> is_now")
+def snapshot_changes(spark, sf):
+    """Files as first listed, of those with several versions, against files as they are."""
+    at = F.struct("updated_at", "content_hash")
+    v = table(spark, sf, "file_index").groupBy(F.col("file_path").alias("path")).agg(
+        F.min_by("content_hash", at).alias("was"), F.max_by("content_hash", at).alias("now"), F.countDistinct("updated_at").alias("n")
+    )
+    before = v.where("n > 1").select("path", F.col("was").alias("content_hash"))
+    return changes.snapshot_changes(before, v.select("path", F.col("now").alias("content_hash")))
+
+
 @query("SELECT event_type, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf):
     w = changes.tumbling(table(spark, sf, "events"), "ts", ["event_type"])

@@ -9,7 +9,8 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udtf
 
 from graphloom.functions.text import CALL
 from graphloom.runtime import spread
@@ -253,3 +254,25 @@ def parsed(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "language", "symbols", "imports", "exports", "errors", "routes"])
 
     return spread(files.select("path", "language", "text")).mapInPandas(run, SCHEMA)
+
+
+def reparsed(files: DataFrame, previous: DataFrame) -> DataFrame:
+    """Parsed rows with their content_hash, of which only files (path, language, content_hash, text) with another hash
+    than in ``previous`` are parsed again; rows of files that are gone are left out."""
+    same = ["path", "content_hash"]
+    kept = previous.join(files.select(*same), same, "left_semi")
+    changed = files.join(previous.select(*same), same, "left_anti")
+    fresh = parsed(changed).join(changed.select(*same), "path")
+    return kept.unionByName(fresh.select(*previous.columns))
+
+
+def register(spark: SparkSession) -> None:
+    """``parse_symbols(text, language, path)`` as a table function of SQL."""
+
+    @udtf(returnType="name string, qualified_name string, kind string, line_start int, line_end int, parent string")
+    class ParseSymbols:
+        def eval(self, text: str, language: str, path: str):
+            for s in parse(text, language, path)["symbols"]:
+                yield s["name"], s["qualified_name"], s["kind"], s["line_start"], s["line_end"], s["parent"]
+
+    spark.udtf.register("parse_symbols", ParseSymbols)

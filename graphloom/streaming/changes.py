@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,30 @@ def read_changes(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.readStream.schema(CHANGES).options(**options).parquet(path)
 
 
+def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, type, old_path, content_hash) between two scans (path, content_hash) of a tree, one row each path.
+
+    A new path whose content another path lost is a move from the smallest such path; each lost path moves to at most
+    one new one, further new ones are creations. Repeated rows of a scan count once.
+    """
+    b, a = (df.groupBy("path").agg(F.max("content_hash").alias("content_hash")) for df in (before, after))
+    both = b.withColumnRenamed("content_hash", "old_hash").join(a, "path", "full_outer")
+    gone = both.where("content_hash is null").select("path", F.col("old_hash").alias("hash"))
+    new = both.where("old_hash is null").select("path", F.col("content_hash").alias("hash"))
+    rank = F.row_number().over(Window.partitionBy("hash").orderBy("path"))
+    moved = new.withColumn("n", rank).alias("a").join(gone.withColumn("n", rank).alias("g"), ["hash", "n"]).select(
+        F.col("a.path").alias("path"), F.col("g.path").alias("old_path"), F.col("hash").alias("content_hash")
+    )
+    null = F.lit(None).cast("string")
+    parts = [
+        moved.select("path", F.lit("moved").alias("type"), "old_path", "content_hash"),
+        new.join(moved.select("path"), "path", "left_anti").select("path", F.lit("created").alias("type"), null.alias("old_path"), F.col("hash").alias("content_hash")),
+        gone.join(moved.select(F.col("old_path").alias("path")), "path", "left_anti").select("path", F.lit("deleted").alias("type"), null.alias("old_path"), F.lit("").alias("content_hash")),
+        both.where("old_hash <> content_hash").select("path", F.lit("modified").alias("type"), null.alias("old_path"), "content_hash"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def exploded_moves(changes: DataFrame) -> DataFrame:
     """A move becomes a deletion of the old path and a creation of the new one, in this order."""
     deleted = F.struct(F.col("old_path").alias("path"), F.lit("deleted").alias("type"), F.lit("").alias("content_hash"), F.lit(0).alias("part"))
