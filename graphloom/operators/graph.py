@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.skew import join_on_unique
 from graphloom.runtime import Scratch, trimmed
 from graphloom.schema import GOAL_EDGES
 
@@ -263,7 +264,7 @@ def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with type, name, file and line of both ends; null where a node is missing."""
     cols = ["type", "qualified_name", "file_path", "line_start"]
     side = lambda key, p: nodes.select(F.col("id").alias(key), *(F.col(c).alias(f"{p}_{c}") for c in cols))
-    return edges.join(side("source", "src"), "source", "left").join(side("target", "tgt"), "target", "left")
+    return join_on_unique(join_on_unique(edges, side("source", "src"), "source"), side("target", "tgt"), "target")
 
 
 def lifted(nodes: DataFrame, edges: DataFrame) -> DataFrame:

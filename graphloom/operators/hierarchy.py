@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import Scratch
+from graphloom.operators.skew import join_on_unique
+from graphloom.runtime import Scratch, shuffle_partitions
 
+#: A parent with more children than this, and than a quarter of a mean partition, is joined apart.
+HOT_CHILDREN = 10_000
 MAX_PEELS = 200
 LEVELS_AT_ONCE = 16
 
@@ -39,6 +42,9 @@ def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
         .select("node", "parent", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(1).cast("long").alias("size"))
     )
     peeled, left = [], rest.count()
+    least = max(HOT_CHILDREN, left // (4 * shuffle_partitions(spark)))
+    hot = scratch.put(rest.where(F.col("waits") > least).select(F.col("node").alias("parent")))
+    hot = hot if hot.count() else None  # by counting, at most four times as many as partitions
     while left and len(peeled) < MAX_PEELS:
         leaves = rest.where("waits = 0").select("node", "parent", "size")
         told = leaves.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(
@@ -72,7 +78,7 @@ def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
         )
         top, lost = F.col("parent").isNull(), F.col("r") == ""
         path = F.when(top, F.array("node")).when(~lost, F.concat("p", F.array("node")))
-        level = leaves.join(above, "parent", "left").select(
+        level = _below(leaves, above, hot).select(
             "node",
             F.when(top, F.col("node")).otherwise(F.col("r")).alias("root"),
             F.when(top, 0).when(lost, -1).otherwise(F.col("d") + 1).cast("int").alias("depth"),
@@ -87,6 +93,15 @@ def hierarchy(links: DataFrame, with_path: bool = True) -> DataFrame:
     )
 
 
+def _below(leaves: DataFrame, above: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Leaves with what is known of their parents; children of hot parents meet them by broadcast."""
+    if hot is None:
+        return leaves.join(above, "parent", "left")
+    few = F.broadcast(above.join(F.broadcast(hot), "parent", "left_semi"))
+    children = leaves.join(F.broadcast(hot), "parent", "left_semi").join(few, "parent", "left")
+    return children.unionByName(leaves.join(F.broadcast(hot), "parent", "left_anti").join(above, "parent", "left"))
+
+
 def _left_over(rest: DataFrame, left: int, ringed: bool, with_path: bool, scratch: Scratch) -> DataFrame:
     """Results of the ``left`` nodes that were not peeled: ring members, or, after MAX_PEELS, whatever remains.
 
@@ -115,7 +130,7 @@ def _left_over(rest: DataFrame, left: int, ringed: bool, with_path: bool, scratc
         for _ in range(left.bit_length() + 1):
             over = walk.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("path").alias("p"))
             walk = scratch.put(
-                walk.join(over, "at", "left").select(
+                join_on_unique(walk, over, "at").select(
                     "node", F.col("next").alias("at"), F.when(F.col("p").isNull(), F.col("path")).otherwise(F.concat("p", "path")).alias("path")
                 )
             )
@@ -133,7 +148,7 @@ def _doubled(state: DataFrame) -> DataFrame:
     )
     below = state.where("at is not null").groupBy(F.col("at").alias("node")).agg(F.sum("size").alias("more"))
     return (
-        state.join(over, "at", "left")
+        join_on_unique(state, over, "at")
         .join(below, "node", "left")
         .select(
             "node",

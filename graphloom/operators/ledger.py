@@ -72,7 +72,8 @@ def run_events(log: DataFrame, runs: DataFrame) -> DataFrame:
     """
     completed = runs.groupBy("run_id").agg(F.max(F.col("status") == "completed").alias("ok"))
     return (
-        log.where("file_id is not null and run_id is not null")
+        log.select("run_id", "file_id", "content_hash", "log_seq")
+        .where("file_id is not null and run_id is not null")
         .join(completed, "run_id", "left")
         .select(
             F.col("file_id").alias("item"),

@@ -35,9 +35,10 @@ def forest(n, seed):
     return links
 
 
-@pytest.mark.parametrize("peels", [H.MAX_PEELS, 2])
-def test_hierarchy_matches_brute_force(spark, monkeypatch, peels):
+@pytest.mark.parametrize("peels,hot", [(H.MAX_PEELS, H.HOT_CHILDREN), (H.MAX_PEELS, 3), (2, 3)])
+def test_hierarchy_matches_brute_force(spark, monkeypatch, peels, hot):
     monkeypatch.setattr(H, "MAX_PEELS", peels)
+    monkeypatch.setattr(H, "HOT_CHILDREN", hot)
     monkeypatch.setattr(H, "LEVELS_AT_ONCE", 3)
     links = forest(60, 1)
     df = spark.createDataFrame([(*x, "extra") for x in links], "child string, parent string, path string")
@@ -125,3 +126,12 @@ def test_skewed_join_keeps_all_rows(spark):
     got = join_on_unique(left, right, "k")
     assert got.count() == 60_001 and got.where("v = 1").count() == 40_000 and got.where("v = 2").count() == 1
     assert join_on_unique(left, right, "k", "left_anti").count() == 20_000
+
+
+def test_extra_columns_do_not_clash(spark):
+    log = spark.createDataFrame([(1, "f", "h", 1, True, "x")], "run_id int, file_id string, content_hash string, log_seq long, ok boolean, status string")
+    runs = spark.createDataFrame([(1, "completed", "f")], "run_id int, status string, file_id string")
+    assert [r.event for r in L.run_events(log, runs).collect()] == ["done"]
+    assert L.run_events(log, runs.limit(0)).first().event == "expired"
+    index = spark.createDataFrame([("f", "h", 1, "v"), ("f", "g", 0, "v"), (None, "h", 1, "v")], "id string, content_hash string, updated_at long, version string")
+    assert [(r.item, r.version) for r in L.current_versions(index, "id", "content_hash", [F.col("updated_at")]).collect()] == [("f", "h")]
