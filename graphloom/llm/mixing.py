@@ -141,7 +141,7 @@ def shares(mixed: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
     whole = got.agg(F.sum("mix_tokens").alias("all_tokens"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return (
-        targets.join(have, "source", "left").join(got, "source", "left").crossJoin(F.broadcast(whole))  # one row
+        targets.select("source", "target_share", "max_repeats").join(have, "source", "left").join(got, "source", "left").crossJoin(F.broadcast(whole))  # one row
         .select(
             "source", "target_share", "max_repeats", zero("have_tokens"), zero("have_docs"), zero("mix_tokens"),
             zero("mix_docs"), zero("most_copies"),
