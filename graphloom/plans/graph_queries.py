@@ -509,9 +509,10 @@ def indexed_edges(spark, sf):
 
 @query()
 def context_snippets(spark, sf):
+    """Of every endpoint of the registry, within the operator's own depth."""
     nodes, edges = _kept(spark, sf)
-    seed = _seed(nodes)
-    members = Scratch(spark, "members").put(graph.goal_subgraph(edges, seed, "full", 4).select("seed", "node"))
+    seeds = graph.registry(nodes).select("id")
+    members = Scratch(spark, "members").put(graph.goal_subgraph(edges, seeds, "full").select("seed", "node"))
     scores = context.boosted(graph.pagerank(edges, members), nodes, "full")
     return context.select_snippets(scores, nodes, _files(spark, sf), 4000)
 

@@ -157,3 +157,16 @@ def test_identity_and_roles(spark):
     df = spark.createDataFrame(names, "name string, decorators array<string>")
     got = [r.role for r in df.select(role(F.col("name"), F.col("decorators")).alias("role")).collect()]
     assert got == ["controller", "service", "repository", "middleware", "validator", "config", "class", "service", "entity", "controller"]
+
+
+def test_context_snippets_of_every_endpoint(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    ring = ["a1", "a2", "a3", "a4", "a5", "a6"]
+    n = nodes(spark, [("e1", "endpoint", "GET /a", "f", 1), ("e2", "endpoint", "GET /b", "f", 1), ("x", "class", "x", "f", 1), *((i, "class", i, "f", 1) for i in ring)])
+    e = edges(spark, [*((a, b, "calls", 1) for a, b in zip(["e1", *ring], ring)), ("e2", "x", "calls", 1)])
+    n.write.parquet(f"{tmp_path}/nodes.parquet")
+    e.write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([("f", "one line\nand another\n")], "file_path string, text string").write.parquet(f"{tmp_path}/parse_results.parquet")
+    got = {(r.seed, r.node_id) for r in entry.queries()["context_snippets"](spark, str(tmp_path)).collect()}
+    assert got == {("e1", i) for i in ["e1", *ring[:5]]} | {("e2", "e2"), ("e2", "x")}
