@@ -204,30 +204,27 @@ def _settled(members: DataFrame, walk: DataFrame, alpha: float, iterations: int,
 PEELS = 4
 
 
-def cycles(edges: DataFrame, longest: int, limit: int | None = None) -> DataFrame:
+def cycles(edges: DataFrame, longest: int | None, limit: int | None = None) -> DataFrame:
     """(cycle): simple cycles of up to ``longest`` nodes, each once, beginning with its smallest node, in order.
 
     Paths grow from their smallest node over greater nodes only. Nodes that lie on no cycle, because nothing leads in or
     out of them, are peeled off first, so that paths are only grown where cycles can be. ``limit`` keeps the first ones.
+    With ``longest`` None cycles may have any length: only strongly connected edges are kept, and paths grow until none
+    is open or, as shorter cycles come first, ``limit`` cycles are found.
     """
     scratch = Scratch(edges.sparkSession, "cycles")
     e = scratch.put(edges.select("source", "target").where("source is not null and target is not null").distinct())
-    n, rounds = e.count(), 0
-    while n and rounds < PEELS:
-        inner = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        inner = scratch.put(inner.join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-        left = inner.count()
-        scratch.drop(e)
-        e, rounds = inner, rounds + 1
-        if left == n:
-            break
-        n = left
+    e = _peeled(e, PEELS, scratch) if longest is not None else _strong(e, scratch)
     loops = e.where("source = target").select(F.array("source").alias("cycle"))
     path = e.where("source < target").select(F.array("source", "target").alias("path"), F.col("source").alias("first"), F.col("target").alias("last"))
-    found = [loops]
-    for _ in range(2, longest + 1):
+    found, n, many = [loops], 1, loops.count() if longest is None and limit else 0
+    while (n < longest) if longest is not None else not (limit and many >= limit):
+        n += 1
         closing = e.select(F.col("source").alias("last"), F.col("target").alias("first"))
-        found.append(path.join(closing, ["last", "first"]).select(F.col("path").alias("cycle")))
+        closed = path.join(closing, ["last", "first"]).select(F.col("path").alias("cycle"))
+        found.append(closed)
+        if longest is None and limit:
+            many += closed.count()
         path = scratch.put(
             path.join(e.select(F.col("source").alias("last"), F.col("target").alias("next")), "last")
             .where((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next")))
@@ -239,6 +236,90 @@ def cycles(edges: DataFrame, longest: int, limit: int | None = None) -> DataFram
     return out.orderBy(F.size("cycle"), "cycle").limit(limit) if limit else out
 
 
+def _peeled(e: DataFrame, rounds: int | None, scratch: Scratch) -> DataFrame:
+    """Edges without those at nodes that nothing leads into or out of, again and again, ``rounds`` times at most."""
+    n, done = e.count(), 0
+    while n and (rounds is None or done < rounds):
+        inner = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+        inner = scratch.put(inner.join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+        left = inner.count()
+        scratch.drop(e)
+        e, done = inner, done + 1
+        if left == n:
+            break
+        n = left
+    return e
+
+
+def _strong(e: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges within strongly connected components: those that lie on a cycle.
+
+    Up to IN_ONE_TASK edges are worked on within one task. Of more, each node takes the greatest id that leads to it and
+    the greatest it leads to; both are the same all over a component, so edges between nodes that differ in one are
+    dropped. When none is, what hangs together is strongly connected.
+    """
+    e = _peeled(e, PEELS, scratch)
+    if e.count() <= IN_ONE_TASK:
+        return scratch.put(e.coalesce(1).mapInPandas(_strong_in_task, "source string, target string"))
+    while True:
+        e = _peeled(e, None, scratch)
+        n = e.count()
+        if not n:
+            return e
+        marks = _greatest(e, "source", "target", scratch).join(_greatest(e, "target", "source", scratch), "node")
+        side = lambda key: marks.select(F.col("node").alias(key), F.struct("source_mark", "target_mark").alias(f"of_{key}"))
+        e = scratch.put(e.join(side("source"), "source").join(side("target"), "target").where("of_source = of_target").select("source", "target"))
+        if e.count() == n:
+            return e
+
+
+def _strong_in_task(batches):
+    rows = [r for b in batches for r in zip(b.source, b.target, strict=True)]
+    out, back = {}, {}
+    for a, b in rows:
+        out.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    ended, seen = [], set()
+    for start in out:
+        if start in seen:
+            continue
+        seen.add(start)
+        todo = [(start, iter(out[start]))]
+        while todo:
+            node, rest = todo[-1]
+            after = next((x for x in rest if x not in seen), None)
+            if after is None:
+                ended.append(node)
+                todo.pop()
+            else:
+                seen.add(after)
+                todo.append((after, iter(out.get(after, ()))))
+    part: dict[str, str] = {}
+    for root in reversed(ended):
+        todo = [] if root in part else [root]
+        while todo:
+            node = todo.pop()
+            if node not in part:
+                part[node] = root
+                todo += back.get(node, ())
+    kept = [(a, b) for a, b in rows if part[a] == part[b]]
+    yield pd.DataFrame(kept, columns=["source", "target"], dtype=object)
+
+
+def _greatest(e: DataFrame, start: str, end: str, scratch: Scratch) -> DataFrame:
+    """(node, <start>_mark): the greatest id from which a node can be reached, going from ``start`` to ``end``."""
+    mark = f"{start}_mark"
+    state = scratch.put(e.select(F.col("source").alias("node")).union(e.select("target")).distinct().withColumn(mark, F.col("node")))
+    while True:
+        told = e.join(state.select(F.col("node").alias(start), mark), start).select(F.col(end).alias("node"), mark)
+        after = told.groupBy("node").agg(F.max(mark).alias("told"))
+        new = scratch.put(state.join(after, "node", "left").select("node", F.greatest(mark, "told").alias("new"), F.col(mark).alias("old")))
+        open_marks = new.where("new > old").limit(1).count()
+        state = new.select("node", F.col("new").alias(mark))
+        if not open_marks:
+            return state
+
+
 def tree(edges: DataFrame, root: str, depth: int) -> DataFrame:
     """(parent, child, level, type): a dependency tree in which each node hangs at its first place, by levels and then by
     the smallest parent."""

@@ -170,3 +170,16 @@ def test_context_snippets_of_every_endpoint(spark, tmp_path):
     spark.createDataFrame([("f", "one line\nand another\n")], "file_path string, text string").write.parquet(f"{tmp_path}/parse_results.parquet")
     got = {(r.seed, r.node_id) for r in entry.queries()["context_snippets"](spark, str(tmp_path)).collect()}
     assert got == {("e1", i) for i in ["e1", *ring[:5]]} | {("e2", "e2"), ("e2", "x")}
+
+
+@pytest.mark.parametrize("in_one_task", [G.IN_ONE_TASK, 0])
+def test_cycles_of_any_length(spark, random_edges, monkeypatch, in_one_task):
+    monkeypatch.setattr(G, "IN_ONE_TASK", in_one_task)
+    ring = lambda p, n: [(f"{p}{i:02d}", f"{p}{(i + 1) % n:02d}") for i in range(n)]
+    between = [("a03", "m"), ("m", "b02"), ("x", "y"), ("y", "a00"), ("b05", "z")]
+    e = edges(spark, [(a, b, "calls", 1) for a, b in [*ring("a", 9), *ring("b", 12), ("b00", "b04"), *between]])
+    assert [len(r.cycle) for r in G.cycles(e, None, 5).collect()] == [9, 9, 12]
+    assert sorted(len(r.cycle) for r in G.cycles(e, None).collect()) == [9, 9, 12]
+    _, some = random_edges
+    assert [r.cycle for r in G.cycles(some, None, 5).collect()] == [r.cycle for r in G.cycles(some, 14, 5).collect()]
+    assert G.cycles(e.limit(0), None, 5).count() == 0

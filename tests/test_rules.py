@@ -70,6 +70,12 @@ def test_architecture_rules(spark):
     assert ("POST /a", "R11") in found(rules.scoped_architecture(nodes, edges, reached))
 
 
+def test_import_ring_of_nine_files(spark):
+    nodes = spark.createDataFrame([(f"f{i}", "file", f"{i}.ts", f"{i}.ts", 1, 1, "f", None, None, None, None, 1) for i in range(9)], NODES)
+    edges = spark.createDataFrame([(f"f{i}", f"f{(i + 1) % 9}", "depends_on", 1.0, None, None, i) for i in range(9)], EDGES)
+    assert found(rules.architecture_rules(nodes, edges)) == {(None, "R12")}
+
+
 def test_not_found_and_ranking(spark):
     nodes, edges, _ = world(spark)
     names = spark.createDataFrame([("GET /b",), ("GET /zzz",)], "endpoint string")
