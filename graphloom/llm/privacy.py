@@ -124,9 +124,9 @@ ADDRESS_WORDS = [
     ("straße", "strasse", "str.", "gasse", "allee", "weg", "platz", "ring", "damm", "ufer", "steig", "hof", "graben", "laan", "straat", "plein", "gracht"),
     (", ",),
 ]
-#: A post code before a town, as all address patterns but the first end in one; a number and a comma before it.
-_TOWN_CODE = re.compile(r", (?:\d{4,6}|[A-Z]{1,2}\d[\dA-Z]? ?\d[A-Z]{2}|\d{4,6}-\d{3,4}) [A-ZÀ-Þ]|\d \d{4,6} [A-ZÀ-Þ]|[a-zà-ÿ] \d{5} [A-ZÀ-Þ]")
-_NUMBER_STREET = re.compile(r"\d[A-Za-z]?,? [A-ZÀ-Þ][^,\n]{2,60},")
+#: What the address patterns but the first cannot do without: the end of a post code before a town; what the first cannot.
+_TOWN_CODE = re.compile(rf"(?:\d{{3}}|\d[A-Z]{{2}}) {_CAP[:_CAP.index(']') + 1]}")
+_NUMBER_STREET = re.compile(rf"\d[A-Za-z]?,? {_CAP[:_CAP.index(']') + 1]}")
 
 
 def holds(low: str, words: tuple[str, ...]) -> bool:
@@ -179,9 +179,8 @@ def _structured(text: str) -> list[Pii]:
 
 def _addresses(text: str, pairs) -> Iterator[tuple[int, int, str, str | None]]:
     """(start, end, town, second word) of the addresses in a text; ``pairs`` says which second words belong to a town."""
-    if "," not in text:
-        return
-    low, coded, numbered = text.lower(), _TOWN_CODE.search(text), _NUMBER_STREET.search(text)
+    low = text.lower().replace("ſ", "s").replace("ı", "i")  # as patterns without letter case take them
+    coded, numbered = _TOWN_CODE.search(text), ", " in text and _NUMBER_STREET.search(text)
     for i, pattern in enumerate(ADDRESS):
         if not (coded if i else numbered) or not holds(low, ADDRESS_WORDS[i]):
             continue

@@ -154,3 +154,28 @@ def test_privacy(spark):
     assert clean[2] == "[NAME] and [NAME]; [NAME] Systems runs it." or "[NAME] and [NAME]" in clean[2]
     assert clean[7] is None and clean[8] == "" and "Kestrel" not in clean[6] and "[ADDRESS]" in clean[6]
     assert privacy.scan(df.limit(0), known).count() == 0
+
+
+def test_address_filters_lose_nothing(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    pick = rng.choice
+    street = lambda: pick(["rue Victor Hugo", "RUE VICTOR HUGO", "Calle Mayor", "High Street", "HIGH ST", "Łódź Road", "Bahnhofstraße", "Am Ring", "ſquare Foch", "A very long Name Of Some", "Long Avenue"])
+    number = lambda: pick(["12", "7b", "3 bis", "12A,", "1234"])
+    code = lambda: pick(["75002", "1012", "123456", "12345-678", "SW1A 1AA", "N1 9GU", ""])
+    texts = [
+        pick(["Hi ", "Hi, they moved to ", ""]) + pick([f"{number()} {street()}", f"{street()} {number()}"]) + pick([" ", ", ", ""]) + f"{code()} {pick(['PARIS', 'Łódź', 'Šid', 'Wien', 'paris'])}" + pick(["", " 4.", ", 1010", "\nend"])
+        for _ in range(4000)
+    ]
+    texts += ["Hi, they moved to 12 RUE VICTOR HUGO 75002 PARIS", "Hi, Calle Mayor 12A 28013 Madrid", "12 rue Victor Hugo 75002 Paris"]
+    assert all([*privacy._addresses(t, None)] for t in texts[-3:])
+    got = [[*privacy._addresses(t, None)] for t in texts]
+
+    class All:
+        search = staticmethod(lambda text: True)
+
+    monkeypatch.setattr(privacy, "_TOWN_CODE", All)
+    monkeypatch.setattr(privacy, "_NUMBER_STREET", All)
+    monkeypatch.setattr(privacy, "holds", lambda low, words: True)
+    assert got == [[*privacy._addresses(t, None)] for t in texts] and sum(map(bool, got)) > 200
