@@ -106,20 +106,24 @@ def _left_over(rest: DataFrame, left: int, ringed: bool, with_path: bool, scratc
     """Results of the ``left`` nodes that were not peeled: ring members, or, after MAX_PEELS, whatever remains.
 
     Doubling keeps for each node its 2^k-th ancestor ``at``, what was summed over fewer than 2^k levels below it, and
-    its root once there is no such ancestor. Nodes that still have one when 2^k exceeds their number never end.
+    its root once there is no such ancestor. Nodes that still have one when 2^k exceeds their number never end; those
+    not on a ring get their sizes by doubling once more, over the chains that are left when the rings are taken away.
     """
     none = F.lit(None).cast("array<string>")
     if ringed:
         return rest.select("node", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("long").alias("size"), none.alias("path"))
-    state = scratch.put(
-        rest.select(
-            "node", F.col("parent").alias("at"), "size", F.when(F.col("parent").isNull(), 0).otherwise(1).alias("hops"),
-            F.when(F.col("parent").isNull(), F.col("node")).alias("root"),
-        )
+    state = _end_of_doubling(rest, left, scratch)
+    endless = state.where("at is not null")
+    rings = scratch.put(endless.select(F.col("at").alias("node")).distinct())  # so far up, all are on rings, and every ring member is met
+    tails = scratch.put(
+        rest.join(endless, "node", "left_semi")
+        .join(rings, "node", "left_anti")
+        .join(rings.select(F.col("node").alias("parent"), F.lit(True).alias("ends")), "parent", "left")
+        .select("node", F.when(F.col("ends").isNull(), F.col("parent")).alias("parent"), "size")
     )
-    for _ in range(left.bit_length() + 1):
-        state = scratch.put(_doubled(state))
-    never = state.where("at is not null").select("node")
+    never = rings.select("node", F.lit(None).cast("long").alias("size"))
+    if below := tails.count():
+        never = never.unionByName(_end_of_doubling(tails, below, scratch).select("node", "size"))
     if with_path:
         ends = scratch.put(state.where("at is null").select("node", "root", "hops", "size"))
         walk = scratch.put(
@@ -138,10 +142,22 @@ def _left_over(rest: DataFrame, left: int, ringed: bool, with_path: bool, scratc
     else:
         ended = state.where("at is null").select("node", "root", "hops", "size", none.alias("path"))
     return ended.select("node", "root", F.col("hops").alias("depth"), "size", "path").unionByName(
-        never.select("node", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("long").alias("size"), none.alias("path"))
+        never.select("node", F.lit("").alias("root"), F.lit(-1).alias("depth"), "size", none.alias("path"))
     )
 
 
+def _end_of_doubling(rest: DataFrame, left: int, scratch: Scratch) -> DataFrame:
+    state = scratch.put(
+        rest.select(
+            "node", F.col("parent").alias("at"), "size", F.when(F.col("parent").isNull(), 0).otherwise(1).alias("hops"),
+            F.when(F.col("parent").isNull(), F.col("node")).alias("root"),
+        )
+    )
+    for _ in range(left.bit_length() + 1):
+        state = scratch.put(_doubled(state))
+    return state
+
+
 def _doubled(state: DataFrame) -> DataFrame:
     over = state.select(
         F.col("node").alias("at"), F.col("at").alias("next"), F.col("hops").alias("h"), F.col("root").alias("r")

@@ -60,6 +60,16 @@ def test_long_chain_without_paths(spark, monkeypatch):
     assert sorted(r.subtree_size for r in rows) == list(range(1, 122))
 
 
+@pytest.mark.parametrize("with_path", [True, False])
+def test_long_chain_into_a_ring(spark, monkeypatch, with_path):
+    monkeypatch.setattr(H, "MAX_PEELS", 2)
+    links = [(f"{i:02d}", f"{i + 1:02d}") for i in range(20)] + [("20", "r1"), ("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("side", "15"), ("self", "self")]
+    rows = H.hierarchy(spark.createDataFrame(links, "child string, parent string"), with_path).collect()
+    assert {(r.root_id, r.depth, r.path) for r in rows} == {("", -1, None)}
+    want = {f"{i:02d}": i + 1 + (i >= 15) for i in range(21)} | {"side": 1, "r1": None, "r2": None, "r3": None, "self": None}
+    assert {r.node_id: r.subtree_size for r in rows} == want
+
+
 def test_hierarchy_of_nothing(spark):
     assert H.hierarchy(spark.createDataFrame([], "child string, parent string")).count() == 0
 
