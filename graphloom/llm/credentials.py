@@ -53,6 +53,8 @@ FLAG = re.compile(
 
 LITERAL = re.compile(r'"""(?:[^\\]|\\.)*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`', re.S)
 JOINT = re.compile(r"\s*(?:\+|\.(?=\s*[\"'`])|\\\n|&|\n)?\s*(?:\\\n)?\s*")
+JOINING, NONBLANK = tuple("\"'`+.&\\"), re.compile(r"\S")
+BRACKET = re.compile(rf"{LITERAL.pattern}|[()\[\]{{}}]", re.S)
 NAMED = re.compile(
     r"(?P<name>[\w.$-]+(?:\(\s*\))?)[\"'`]?\s*\]?\s*\??(?:\s*:\s*[A-Za-z_][\w<>\[\]|?., ]{0,40}?)?\s*(?:\?\?=?|\|\|=?|:=|=>|=|:|\bor\b|\belse\b)\s*[(\[{]?\s*(?:[rbfuRBFU$@]{1,2})?$"
 )
@@ -142,6 +144,8 @@ def _automaton():
 
 
 UNIT_LINES = 4
+#: Characters that are encoded at once; nobody writes placeholders or references of more.
+LONG = 4096
 
 
 @dataclass(frozen=True)
@@ -153,7 +157,7 @@ class Found:
 
 @lru_cache(maxsize=1 << 16)
 def chars_per_subword(text: str) -> float:
-    n = len(encoder().encode_ordinary(text))
+    n = sum(len(encoder().encode_ordinary(text[i : i + LONG])) for i in range(0, len(text), LONG))
     return len(text) / n if n else 0.0
 
 
@@ -192,7 +196,7 @@ def decoded(text: str) -> str | None:
 
 def usable(value: str, strength: int) -> bool:
     """Whether a literal under a name that asks for a secret of this strength is one."""
-    if PLACEHOLDER.search(value) or REFERENCE.search(value) or KNOWN_TERM.match(value) and strength < 2:
+    if len(value) <= LONG and (PLACEHOLDER.search(value) or REFERENCE.search(value)) or KNOWN_TERM.match(value) and strength < 2:
         return False
     if (m := USERINFO.search(value)) is not None:
         return usable(m["secret"], 2)
@@ -203,7 +207,7 @@ def usable(value: str, strength: int) -> bool:
     if "(" in value and value.endswith(")"):
         return False
     if (inner := decoded(value)) is not None and (":" in inner or unnatural(value)):
-        if PLACEHOLDER.search(inner) or REFERENCE.search(inner):
+        if len(inner) <= LONG and (PLACEHOLDER.search(inner) or REFERENCE.search(inner)):
             return False
         if ":" in inner and "://" not in inner:
             return usable(inner.split(":", 1)[1], 2)
@@ -263,6 +267,36 @@ def _call_before(before: str) -> str:
     return ""
 
 
+def _login_call(line: str) -> bool:
+    """Whether a call that takes credentials is open at the end of a line."""
+    return "(" in line and bool(LOGIN_CALL.search(_call_before(line)))
+
+
+def _unit_end(text: str, at: int, end: int) -> int:
+    """Where the lines end that belong to the one at ``at``: with what is joined to the literals before ``end``, and with
+    the login call that is open at the end of the first line."""
+    past = lambda i: text.find("\n", i) + 1 or len(text)
+    first = text.find("\n", at)
+    if 0 <= first < end and _login_call(text[at:first]):
+        depth = 0
+        for m in BRACKET.finditer(text, first):
+            depth += (m[0] in "([{") - (m[0] in ")]}")
+            if depth < 0:
+                end = max(end, past(m.start()))
+                break
+    if text[at:end].rstrip()[-1:] not in JOINING or not (m := NONBLANK.search(text, end)) or m[0] not in JOINING:
+        return end
+    last = None
+    for m in LITERAL.finditer(text, at):
+        gap = text[last : m.start()] if last is not None else ""
+        if m.start() >= end and not (gap.strip() or "\n" in gap) or m.start() >= end and not JOINT.fullmatch(gap):
+            break
+        if m.start() >= end:
+            end = past(m.end())
+        last = m.end()
+    return end
+
+
 def find(text: str, path: str | None = None) -> list[Found]:
     """Credentials of one text, at most one a line, in order of their lines.
 
@@ -292,6 +326,7 @@ def find(text: str, path: str | None = None) -> list[Found]:
             if not end:
                 end = len(text)
                 break
+        end = _unit_end(text, at, end)
         for rel, kind, spans in _unit(text[at:end], code):
             if kind == "private_key":
                 m = PRIVATE_KEY.match(text, at + rel)
@@ -329,12 +364,19 @@ def _unit(text: str, code: bool) -> tuple[tuple[int, str, tuple[tuple[int, int],
             if usable(m[g], 2):
                 spots.append((m.start(g), "flag", (m.span(g),)))
     previous: tuple[int, str] | None = None
+    login = _login_call(line)
     for value, spans in _literals(text):
         lo = spans[0][0]
         quotes = 3 if text[max(0, lo - 3) : lo] == '"""' else 1
         before = text[: lo - quotes]
         if lo > first and (before[first:].strip() or line.rstrip().endswith(("\"", "'", "`", ";", ","))):
-            break
+            if not login:
+                break
+            call = _call_before(before)
+            if LOGIN_CALL.search(call) and _argument(value):
+                spots.append((lo, "argument", tuple(spans)))
+            previous = (spans[-1][1], value)
+            continue
         kind = _literal_kind(value, before[-200:].rstrip() if lo > first else before[-200:], previous)
         if kind:
             spots.append((lo, kind, tuple(spans)))
@@ -367,8 +409,12 @@ def _spoken(value: str) -> bool:
     return bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value)) or bool(re.search(r"[^\w./:-]", value))
 
 
+def _argument(value: str) -> bool:
+    return bool(value) and not HEX_DIGEST.match(value) and usable(value, 2) and bool(unnatural(value) or re.search(r"\d", value))
+
+
 def _literal_kind(value: str, before: str, previous: tuple[int, str] | None) -> str | None:
-    if not value or len(value) > 4096:
+    if not value:
         return None
     m = NAMED.search(before)
     if m is not None:
@@ -383,7 +429,7 @@ def _literal_kind(value: str, before: str, previous: tuple[int, str] | None) ->
         if strength and usable(value, strength):
             return "literal"
     call = _call_before(before)
-    if call and LOGIN_CALL.search(call) and not HEX_DIGEST.match(value) and usable(value, 2) and (unnatural(value) or re.search(r"\d", value)):
+    if call and LOGIN_CALL.search(call) and _argument(value):
         return "argument"
     if TOKEN.fullmatch(value):
         return "token"

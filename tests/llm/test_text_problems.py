@@ -179,3 +179,23 @@ def test_address_filters_lose_nothing(monkeypatch):
     monkeypatch.setattr(privacy, "_NUMBER_STREET", All)
     monkeypatch.setattr(privacy, "holds", lambda low, words: True)
     assert got == [[*privacy._addresses(t, None)] for t in texts] and sum(map(bool, got)) > 200
+
+
+def test_credentials_over_many_lines():
+    pieces = [KEY[i : i + 4] for i in range(0, 24, 4)]
+    joined = "const apiKey =\n" + " +\n".join(f"  '{p}'" for p in pieces) + ";\nconst x = 'other';\n"
+    (f,) = C.find(joined, "a.ts")
+    assert [joined[lo:hi] for lo, hi in f.spans] == pieces
+    call = "client.authenticate(\n  'user',\n  host,\n  'eu-west',\n  port,\n  'Maple17!9jc',\n);\nlog('Maple17!9jd');\n"
+    (f,) = C.find(call, "a.ts")
+    assert f.line == 6 and [call[lo:hi] for lo, hi in f.spans] == ["Maple17!9jc"]
+    assert not C.find("client.authenticate(\n  'user',\n);\nlog(\n  'Maple17!9jd');\n", "a.ts")
+
+
+def test_credentials_of_many_characters():
+    import base64
+    import random
+
+    key = base64.b64encode(random.Random(1).randbytes(30_000)).decode()
+    text = f'keystore_secret = "{key}"\n'
+    assert C.redact(text, C.find(text, "a.py")) == f'keystore_secret = "{"x" * len(key)}"\n'
