@@ -92,16 +92,16 @@ def style(name: str) -> str | None:
 
 def top(text: str) -> str:
     """The comments at the head of a text."""
-    out, inside = [], False
-    for line in text.lstrip("\ufeff").split("\n", 60)[:60]:
+    out, close = [], ""
+    for line in text.lstrip("\ufeff").split("\n"):
         s = line.strip()
-        if not (inside or not s or COMMENT_LINE.match(s)):
+        if not (close or not s or COMMENT_LINE.match(s)):
             break
         out.append(s)
-        if s.startswith("/*") or s.startswith("<!--"):
-            inside = True
-        if s.endswith("*/") or s.endswith("-->"):
-            inside = False
+        if not close:
+            close = "*/" if s.startswith("/*") else "-->" if s.startswith("<!--") else ""
+        if close in s:
+            close = ""
     return "\n".join(out)
 
 

@@ -199,3 +199,10 @@ def test_credentials_of_many_characters():
     key = base64.b64encode(random.Random(1).randbytes(30_000)).decode()
     text = f'keystore_secret = "{key}"\n'
     assert C.redact(text, C.find(text, "a.py")) == f'keystore_secret = "{"x" * len(key)}"\n'
+
+
+def test_origin_reads_the_whole_head():
+    licence = "\n".join(f" * Clause {i} of the licence." for i in range(200))
+    model = origin.Names({})
+    assert origin.judge("src/a.ts", f"/*\n{licence}\n */\n// Code generated by tool. DO NOT EDIT.\nconst a = 1;\n", model) == "generated"
+    assert origin.judge("src/a.ts", "/* a */ const a = 1;\n" + "f(a);\n" * 3 + "// Code generated by tool.\n", model) is None
