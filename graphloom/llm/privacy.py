@@ -19,8 +19,8 @@ from graphloom.runtime import Scratch, spread
 
 #: Bits by which seeing a word must raise the odds of a person being named for the word to count as part of a name.
 DISCLOSURE_BITS = 3.5
-#: The same for the second word of a town, given the first: the share of the first word's addresses that have it.
-TOWN_SHARE = 0.5
+#: Further words of a town follow it as many bits more often than chance has it, with this log-likelihood in favour.
+TOWN_EVIDENCE = 9.2
 #: A role (given or family name) a word has in at least this share of the names it is in.
 ROLE_SHARE = 0.2
 
@@ -177,8 +177,9 @@ def _structured(text: str) -> list[Pii]:
     return out
 
 
-def _addresses(text: str, pairs) -> Iterator[tuple[int, int, str, str | None]]:
-    """(start, end, town, second word) of the addresses in a text; ``pairs`` says which second words belong to a town."""
+def _addresses(text: str, pairs) -> Iterator[tuple[int, int, str, list[str], bool]]:
+    """(start, end, town, further words, whether a post code follows them) of the addresses in a text; ``pairs`` says
+    which words belong to a town that begins like this."""
     low = text.lower().replace("ſ", "s").replace("ı", "i")  # as patterns without letter case take them
     coded, numbered = _TOWN_CODE.search(text), ", " in text and _NUMBER_STREET.search(text)
     for i, pattern in enumerate(ADDRESS):
@@ -186,17 +187,20 @@ def _addresses(text: str, pairs) -> Iterator[tuple[int, int, str, str | None]]:
             continue
         for m in pattern.finditer(text):
             groups = m.groupdict()
-            rest = m["rest"].replace("-", " ").split()
-            end = m.end("town")
+            rest = list(re.finditer(r"[^ -]+", m["rest"]))
+            words = [norm(w[0]) for w in rest]
+            end, town = m.end("town"), norm(m["town"])
             if groups.get("zip"):
-                yield m.start(), m.end(), norm(m["town"]), None
+                yield m.start(), m.end(), town, [w for w, x in zip(words, rest, strict=True) if not re.fullmatch("[A-Z]{2}", x[0])], True
                 continue
-            second = rest[0] if rest else None
-            if second and pairs is not None and pairs(norm(m["town"]), norm(second)):
-                end = m.start("rest") + 1 + len(second)
-            if pairs is not None and (z := re.compile(rf",? {_ZIP}(?!\w)").match(text, end)) and len(groups) == 3:
-                end = z.end()
-            yield m.start(), end, norm(m["town"]), norm(second) if second else None
+            if pairs is not None:
+                for w, x in zip(words, rest, strict=True):
+                    if not pairs(town, w):
+                        break
+                    town, end = f"{town} {w}", m.start("rest") + x.end()
+                if (z := re.compile(rf",? {_ZIP}(?!\w)").match(text, end)) and len(groups) == 3:
+                    end = z.end()
+            yield m.start(), end, town, words, False
 
 
 def _head(span: str) -> str:
@@ -245,10 +249,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 family[f] += 1
                 if g:
                     given[g] += 1
-            for _, _, town, second in _addresses(text, None):
+            for _, _, town, more, coded in _addresses(text, None):
                 n[town + "\t"] += 1
-                if second:
-                    n[f"{town}\t{second}"] += 1
+                for w in more:
+                    n[f"{town}\t{w}"] += 1
+                    given[f"{town}\t{w}"] += coded
+                    town = f"{town} {w}"
+                    n[town + "\t"] += 1
     for word, k in raw.items():
         n[norm(word)] += k
     terms = list(n)
@@ -282,12 +289,23 @@ def disclosing(counts: DataFrame) -> DataFrame:
     base = words.agg((F.sum(both) / F.sum("n")).alias("base"))
     bits = F.log2(both / F.col("n") / F.col("base"))
     named = words.where(both > 0).crossJoin(F.broadcast(base)).where(bits >= DISCLOSURE_BITS)  # one row
-    pairs = counts.where(F.col("term").contains("\t")).withColumn("town", F.substring_index("term", "\t", 1))
-    of_town = pairs.groupBy("town").agg(F.max(F.when(F.col("term").endswith("\t"), F.col("n"))).alias("all"))
+    pairs = counts.where(F.col("term").contains("\t")).withColumns(
+        {"town": F.substring_index("term", "\t", 1), "word": F.substring_index("term", "\t", -1)}
+    )
+    ends, pairs = pairs.where("word = ''"), pairs.where("word <> ''")
+    of_town = ends.select("town", F.col("n").alias("all"))
+    of_word = pairs.groupBy("word").agg(F.sum("n").alias("after"))
+    sums = ends.agg(F.sum("n").alias("towns")).crossJoin(words.agg(F.sum("n").alias("words")))
+    k, elsewhere = F.col("n"), F.coalesce("anywhere", F.lit(0)) - F.col("after")
+    chance = F.greatest((F.col("after") - k) / F.greatest(F.col("towns") - F.col("all"), F.lit(1)), (F.greatest(elsewhere, F.lit(0)) + 1) / F.col("words"))
+    by_chance = F.col("all") * chance
+    likely = (k >= by_chance * 2**DISCLOSURE_BITS) & (k * F.ln(k / by_chance) - k + by_chance >= TOWN_EVIDENCE)
     second = (
-        pairs.where(~F.col("term").endswith("\t"))
-        .join(of_town, "town")
-        .where(F.col("n") >= TOWN_SHARE * F.col("all"))
+        pairs.join(of_town, "town")
+        .join(of_word, "word")
+        .join(words.select(F.col("term").alias("word"), F.col("n").alias("anywhere")), "word", "left")
+        .crossJoin(F.broadcast(sums))  # one row
+        .where((F.col("given") > 0) | likely)
         .select(F.lit("town").alias("role"), "term")
     )
     return (
@@ -414,7 +432,7 @@ def find(text: str | None, known: Terms) -> list[Pii]:
         return []
     out = _structured(text)
     taken = [(p.start, p.end) for p in out]
-    for lo, hi, _, _ in _addresses(text, lambda a, b: known.has("town", f"{a}\t{b}")):
+    for lo, hi, *_ in _addresses(text, lambda a, b: known.has("town", f"{a}\t{b}")):
         if all(hi <= a or lo >= b for a, b in taken):
             out.append(Pii(lo, hi, "address"))
             taken.append((lo, hi))

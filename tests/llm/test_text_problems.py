@@ -206,3 +206,14 @@ def test_origin_reads_the_whole_head():
     model = origin.Names({})
     assert origin.judge("src/a.ts", f"/*\n{licence}\n */\n// Code generated by tool. DO NOT EDIT.\nconst a = 1;\n", model) == "generated"
     assert origin.judge("src/a.ts", "/* a */ const a = 1;\n" + "f(a);\n" * 3 + "// Code generated by tool.\n", model) is None
+
+
+def test_towns_that_share_a_first_word(spark):
+    rng = __import__("random").Random(2)
+    towns = ["San Diego", "San Antonio", "San Francisco", "San Luis Obispo", "Springfield", "Ashford"]
+    filler = [f"Please send all of it before noon and call {w} again about the order that was late" for w in ("John", "Mary", "Peter")] * 40
+    rows = [f"Ship to {rng.randrange(1, 900)} High Street, {t} {w}" for t in towns for w in ("Please reply", "Call John", "and wait") * 4]
+    known = privacy.learn(spark.createDataFrame([(x,) for x in filler + rows], "text string"))
+    for text, town in zip(rows, [t for t in towns for _ in range(12)], strict=True):
+        (p,) = [p for p in privacy.find(text, known) if p.kind == "address"]
+        assert text[: p.end].endswith(f"High Street, {town}"), text
