@@ -121,3 +121,18 @@ def test_loop_and_answers():
     assert reports.run("x", "full", "", lambda *a: {"check": a[0], "findings": []})["iterations"] == 3
     assert reports.parse_findings('{"findings": [1]}') == [1] and reports.parse_findings("so:\n```json\n[2]\n```") == [2]
     assert reports.parse_findings("plain")[0]["severity"] == "info"
+
+
+def test_batch_of_static_checks_equals_single_ones(spark):
+    contexts = ["", None, "app.use(AuthGuard)", "db.query(x); repo.find(1)", "validateBody(); findAll()"]
+    df = spark.createDataFrame([(f"k{i}", c, "x") for i, c in enumerate(contexts)], "k string, context string, findings string")
+    for goal in ("security", "performance", "architecture", "full"):
+        steps = reports.static_checks(reports.planned(df.select("k", "context"), "k", goal)).collect()
+        assert len(steps) == len(contexts) * len(reports.plan(goal))
+        for r in steps:
+            assert [f.asDict() for f in r.findings] == reports.static_check(r.check, r.description, r.context or "")["findings"]
+        for r in reports.analysed(df, "k", goal).collect():
+            one = reports.run("e", goal, contexts[int(r.k[1:])] or "")
+            assert (r.confidence, r.iterations) == (one["confidence"], one["iterations"])
+            assert {f.title for f in r.findings} == {f["title"] for f in one["findings"]}
+    assert reports.analysed(df.limit(0), "k", "full").count() == 0

@@ -92,3 +92,18 @@ def test_registered_functions(spark):
 @pytest.mark.parametrize("text,hit", [("query(`select ${x}`)", True), ("query(`select\n${x}`)", False)])
 def test_patterns(spark, text, hit):
     assert column(spark, [text], lambda c: c.rlike(T.INTERPOLATED_SQL)) == [hit]
+
+
+IMPORTS = {
+    "import { A, B as C } from './m'": ["A", "C"], "import D from \"d\"": ["D"], "  import os": ["os"], "from a.b import c, d as e": ["c", "e"], "import { } from 'x'": [], "import a.b": ["a"],
+    "import './x'": None, "import {} from 'x'": None, "import a, { b } from 'c'": None, "important = 1": None, "from x": None, "": None, "import * as z from 'q'": None,
+}
+HEADS = {
+    "  async run(x: number): Promise<void> {": "run", "public static f() {": "f", "function g(a) {": "g", "if (x) {": "if", "f(): void{": "f", "f(): Map<a, b> {": None, "x.f() {": None,
+    "f(": None, "f()": None, "function (x) {": "function", "static async f() {": None, "f(): {a} {": "f", "f() : {": None, "": None,
+}
+
+
+def test_heads_of_imports_and_methods():
+    assert {k: T.imported_names(k) for k in IMPORTS} == IMPORTS
+    assert {k: (h := T.method_head(k)) and h[0] for k in HEADS} == HEADS
