@@ -53,6 +53,22 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def write(self, df: DataFrame, folders: list[str]) -> str:
+        """Write with a subfolder for each value of some columns; the path."""
+        self.n += 1
+        path = f"{self.root}/{self.n:05d}"
+        df.write.mode("overwrite").partitionBy(*folders).parquet(path)
+        return path
+
+    def read(self, path: str, schema: str) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    def exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:

@@ -39,7 +39,6 @@ def forest(n, seed):
 def test_hierarchy_matches_brute_force(spark, monkeypatch, peels, hot):
     monkeypatch.setattr(H, "MAX_PEELS", peels)
     monkeypatch.setattr(H, "HOT_CHILDREN", hot)
-    monkeypatch.setattr(H, "LEVELS_AT_ONCE", 3)
     links = forest(60, 1)
     df = spark.createDataFrame([(*x, "extra") for x in links], "child string, parent string, path string")
     rows = {r.node_id: r for r in H.hierarchy(df).collect()}
@@ -145,3 +144,14 @@ def test_extra_columns_do_not_clash(spark):
     assert L.run_events(log, runs.limit(0)).first().event == "expired"
     index = spark.createDataFrame([("f", "h", 1, "v"), ("f", "g", 0, "v"), (None, "h", 1, "v")], "id string, content_hash string, updated_at long, version string")
     assert [(r.item, r.version) for r in L.current_versions(index, "id", "content_hash", [F.col("updated_at")]).collect()] == [("f", "h")]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 2.0])
+def test_results_do_not_depend_on_how_much_is_peeled(spark, monkeypatch, share):
+    monkeypatch.setattr(H, "PEEL_SHARE", share)
+    links = forest(80, 4) + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(30)] + [(f"t{i}", f"t{i + 1}") for i in range(9)] + [("t9", "r1")]
+    rows = {r.node_id: r for r in H.hierarchy(spark.createDataFrame(links, "child string, parent string")).collect()}
+    want = brute_tree(links)
+    assert {k: (r.root_id, r.depth, r.path) for k, r in rows.items()} == want
+    assert [rows[f"t{i}"].subtree_size for i in range(10)] == list(range(1, 11)) and rows["c30"].subtree_size == 31
+    assert rows["r2"].subtree_size is None and rows["self"].subtree_size is None
