@@ -181,7 +181,7 @@ def _left_over(rest: DataFrame, left: int, ringed: bool, with_path: bool, scratc
                 break
             over = walk.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("path").alias("p"))
             walk = scratch.put(
-                join_on_unique(walk, over, "at").select(
+                join_on_unique(walk, over, "at", scratch=scratch).select(
                     "node", F.col("next").alias("at"), F.when(F.col("p").isNull(), F.col("path")).otherwise(F.concat("p", "path")).alias("path")
                 )
             )
@@ -201,20 +201,20 @@ def _end_of_doubling(rest: DataFrame, left: int, scratch: Scratch) -> DataFrame:
         )
     )
     for _ in range(left.bit_length() + 1):
-        before, state = state, scratch.put(_doubled(state))
+        before, state = state, scratch.put(_doubled(state, scratch))
         scratch.drop(before)
         if state.where("at is not null").isEmpty():
             break
     return state
 
 
-def _doubled(state: DataFrame) -> DataFrame:
+def _doubled(state: DataFrame, scratch: Scratch) -> DataFrame:
     over = state.select(
         F.col("node").alias("at"), F.col("at").alias("next"), F.col("hops").alias("h"), F.col("root").alias("r")
     )
     below = state.where("at is not null").groupBy(F.col("at").alias("node")).agg(F.sum("size").alias("more"))
     return (
-        join_on_unique(state, over, "at")
+        join_on_unique(state, over, "at", scratch=scratch)
         .join(below, "node", "left")
         .select(
             "node",

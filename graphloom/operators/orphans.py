@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.bloom import bloom_agg, might_contain
+from graphloom.functions.bloom import KeyFilter
 from graphloom.operators.skew import join_on_unique
-from graphloom.runtime import reference_key
+from graphloom.runtime import Scratch, reference_key
 
 
 def epoch(col: Column) -> Column:
@@ -36,16 +36,20 @@ def references(rows: DataFrame, row_id: Column, key: str, created: Column) -> Da
 def orphans(refs: DataFrame, parents: DataFrame, expected_keys: int) -> DataFrame:
     """Rows (row_id, key, at, reason) of the references that lead nowhere.
 
-    A Bloom filter of all parent keys, deleted or not, proves most orphans without moving them; only what the filter
-    lets through is joined exactly (hot keys apart, see ``join_on_unique``), which finds its false positives, deleted
-    parents and parents that came after the reference. A reference without a time is never late; an undeleted parent
-    without a time came first. Repeated references are listed once. Empty tables: no parents makes every reference
-    missing, no references gives no rows.
+    A Bloom filter of all parent keys, deleted or not, proves most orphans without moving them; its size follows
+    ``expected_keys``. References are normalised and tested once and written with the outcome. Only what the filter lets
+    through is joined exactly (hot keys apart, see ``join_on_unique``), which finds its false positives, deleted parents
+    and parents that came after the reference. A reference without a time is never late; an undeleted parent without a
+    time came first. Repeated references are listed once. Empty tables: no parents makes every reference missing, no
+    references gives no rows.
     """
-    known = parents.select(bloom_agg(F.xxhash64("key"), expected_keys).alias("bloom"))
-    tested = refs.withColumn("maybe", might_contain(known, F.xxhash64("key")))
-    certain = tested.where(~F.col("maybe")).select("row_id", "key", "at", F.lit("missing").alias("reason"))
-    checked = join_on_unique(tested.where("maybe").drop("maybe"), parents, "key").withColumn(
+    scratch = Scratch(refs.sparkSession, "orphans")
+    known = scratch.put(parents)
+    h = F.xxhash64("key")
+    path = scratch.write(KeyFilter(known, h, expected_keys).marked(refs.select("row_id", "key", "at"), h, "maybe"), ["maybe"])
+    part = lambda maybe: scratch.read(f"{path}/maybe={maybe}", refs.select("row_id", "key", "at").schema) if scratch.exists(f"{path}/maybe={maybe}") else refs.select("row_id", "key", "at").limit(0)
+    certain = part("false").withColumn("reason", F.lit("missing"))
+    checked = join_on_unique(part("true"), known, "key", scratch=scratch).withColumn(
         "reason",
         F.when(F.col("alive").isNull(), "missing")
         .when(~F.col("alive"), "deleted")

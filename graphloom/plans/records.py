@@ -97,10 +97,10 @@ def _orphans(spark: SparkSession, sf: str):
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
-        found.select(F.lit(name).alias("source_table"), "row_id", "reason").distinct()
+        found.select(F.lit(name).alias("source_table"), "row_id", "reason")
         for name, _, found in _orphans(spark, sf)
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:

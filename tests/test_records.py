@@ -155,3 +155,18 @@ def test_results_do_not_depend_on_how_much_is_peeled(spark, monkeypatch, share):
     assert {k: (r.root_id, r.depth, r.path) for k, r in rows.items()} == want
     assert [rows[f"t{i}"].subtree_size for i in range(10)] == list(range(1, 11)) and rows["c30"].subtree_size == 31
     assert rows["r2"].subtree_size is None and rows["self"].subtree_size is None
+
+
+def test_key_filter_grows_with_the_keys(spark, monkeypatch):
+    from graphloom.functions import bloom
+
+    monkeypatch.setattr(bloom, "MAX_BITS", 1 << 13)
+    monkeypatch.setattr(bloom, "AT_ONCE", 3)
+    keys, rows = spark.range(5_000).select("id"), spark.range(20_000).select("id", F.lit("x").alias("h"))
+    hashed = F.xxhash64("id")
+    filters = bloom.KeyFilter(keys, hashed, 5_000)
+    assert filters.ranges == 8
+    got = filters.marked(rows, hashed, "maybe")
+    assert got.count() == 20_000 and got.where("id < 5000 and not maybe").count() == 0
+    assert got.where("id >= 5000 and maybe").count() < 300
+    assert bloom.KeyFilter(keys.limit(0), hashed, 0).marked(rows, hashed, "maybe").where("maybe").count() == 0
