@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 from graphloom.operators.skew import join_on_unique
 from graphloom.runtime import Scratch
 
-HASHES = 3
+HASHES, BITS_PER_ROW = 3, 10
 BLOCK_BITS = 1 << 16
-MAX_BLOCKS = 1 << 11  # 16 MB a filter at most
+#: Blocks of a filter: 32 MB, for 27 million rows. More rows are taken in passes, each with a filter of its own.
+MAX_BLOCKS = 1 << 12
+CHUNK_ROWS = 1 << 20
 
 
 def plain_text(col: Column) -> Column:
@@ -47,61 +50,113 @@ def _positions(h: np.ndarray, bits: int) -> np.ndarray:
     return (a[:, None] + b[:, None] * np.arange(HASHES, dtype=np.uint64)) & np.uint64(bits - 1)
 
 
-def _partition_filters(bits: int):
-    """Of one partition: the blocks of its once filter, and of its twice filter (bits set by two different rows)."""
+FILTER_SCHEMA = "block int, once binary, twice binary"
+
+
+def _partition_filters(bits: int, block_bits: int, chunk_rows: int):
+    """Of one partition: the bits set in each block of its once filter, and of its twice filter (set by two different
+    rows), as lists of places, which take six bytes a row however large the filter is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        held, rows = [], 0
         for batch in batches:
-            # the HASHES positions of one row differ, as the step is odd
-            at, n = np.unique(_positions(batch.column(0).to_numpy(zero_copy_only=False), bits), return_counts=True)
-            twice[at[(n > 1) | once[at]]] = True
-            once[at] = True
-        for k in range(bits // BLOCK_BITS):
-            part = slice(k * BLOCK_BITS, (k + 1) * BLOCK_BITS)
-            if once[part].any():
-                yield pa.RecordBatch.from_pydict(
-                    {"block": [k], "once": [np.packbits(once[part]).tobytes()], "twice": [np.packbits(twice[part]).tobytes()]}
-                )
+            held.append(_positions(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel().astype(np.uint64))
+            rows += batch.num_rows
+            if rows >= chunk_rows:
+                yield _blocks(np.concatenate(held), block_bits)
+                held, rows = [], 0
+        if rows:
+            yield _blocks(np.concatenate(held), block_bits)
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge rows of the same block; a bit set in two of them is set twice."""
-    merged: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            o, t = (np.frombuffer(row[k], np.uint8) for k in ("once", "twice"))
-            if row["block"] in merged:
-                o0, t0 = merged[row["block"]]
-                o, t = o | o0, t | t0 | (o & o0)
-            merged[row["block"]] = (o, t)
-    for k, (o, t) in sorted(merged.items()):
-        yield pa.RecordBatch.from_pydict({"block": [k], "once": [o.tobytes()], "twice": [t.tobytes()]})
+def _blocks(positions: np.ndarray, block_bits: int) -> pa.RecordBatch:
+    once, n = np.unique(positions, return_counts=True)  # the HASHES positions of one row differ, as the step is odd
+    block, place = once // block_bits, (once % block_bits).astype(np.uint16)
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    parts = list(zip(np.split(place, starts[1:]), np.split(n > 1, starts[1:]), strict=True))
+    return pa.RecordBatch.from_pydict(
+        {
+            "block": pa.array(block[starts].astype(np.int32)),
+            "once": pa.array([p.tobytes() for p, _ in parts], pa.binary()),
+            "twice": pa.array([p[t].tobytes() for p, t in parts], pa.binary()),
+        }
+    )
 
 
-FILTER_SCHEMA = "block bigint, once binary, twice binary"
+def _merge(block_bits: int):
+    """Rows of the same block merged to the packed bits of its twice filter; a bit set in two of them is set twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for block, *both in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                o, t = (np.frombuffer(x, np.uint16) for x in both)
+                once, twice = merged.setdefault(block, (np.zeros(block_bits, bool), np.zeros(block_bits, bool)))
+                twice[o[once[o]]] = True
+                twice[t] = True
+                once[o] = True
+        for block, (_, twice) in sorted(merged.items()):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "twice": pa.array([np.packbits(twice).tobytes()], pa.binary())})
+
+    return run
 
 
 def repeat_filter(hashes: DataFrame, rows: int) -> np.ndarray:
     """Bytes of the bits that at least two rows of ``hashes`` (one column, 64-bit) have set, merged over partitions.
 
-    The size follows the number of rows up to a fixed bound (MAX_BLOCKS); beyond it more keys look like repeats and go
-    through the exact grouping, which is right at every size.
+    The size follows the number of rows of the pass, up to MAX_BLOCKS.
     """
     blocks = 1
-    while blocks * BLOCK_BITS < rows * 10 and blocks < MAX_BLOCKS:
+    while blocks * BLOCK_BITS < rows * BITS_PER_ROW and blocks < MAX_BLOCKS:
         blocks *= 2
     bits = blocks * BLOCK_BITS
-    parts = hashes.mapInArrow(_partition_filters(bits), FILTER_SCHEMA)
-    merged = parts.repartition(min(blocks, 64), "block").mapInArrow(_merge, FILTER_SCHEMA)
+    parts = hashes.mapInArrow(_partition_filters(bits, BLOCK_BITS, CHUNK_ROWS), FILTER_SCHEMA)
+    merged = parts.repartition(min(blocks, 64), "block").mapInArrow(_merge(BLOCK_BITS), "block int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
-    for row in merged.select("block", "twice").collect():  # at most MAX_BLOCKS rows of 8 KB
+    for row in merged.collect():  # at most MAX_BLOCKS rows of 8 KB
         out[row.block * BLOCK_BITS // 8 : (row.block + 1) * BLOCK_BITS // 8] = np.frombuffer(row.twice, np.uint8)
     return out
 
 
+def _tested(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (copy_id, key, h) with ``again``: false where no other row can have the same key."""
+    shared = rows.sparkSession.sparkContext.broadcast(repeat_filter(rows.select("h"), n))
+
+    @F.pandas_udf("boolean")
+    def may_repeat(h):
+        at = _positions(h.to_numpy(), len(shared.value) * 8)
+        hit = (shared.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
+        return pd.Series(hit.all(axis=1))
+
+    return rows.select("copy_id", "key", may_repeat("h").alias("again"))
+
+
+def split(hashed: DataFrame, rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(single, maybe): rows (copy_id, key) that have their key alone, and those that may share it.
+
+    Rows are taken in as many passes as filters of MAX_BLOCKS are needed, by another hash of the key, so that the share
+    of false repeats stays the same at every size. Each pass reads its own folder, so every row is read twice in all.
+    """
+    passes = max(1, -(-rows * BITS_PER_ROW // (MAX_BLOCKS * BLOCK_BITS)))
+    at = scratch.write(hashed.withColumn("pass", F.pmod(F.hash("key"), F.lit(passes))), ["pass"])
+    kind = hashed.select("copy_id", "key").schema
+    empty = hashed.select("copy_id", "key").limit(0)
+    parts = {"false": [empty], "true": [empty]}
+    for i in range(passes):
+        if not scratch.exists(f"{at}/pass={i}"):
+            continue
+        part = scratch.read(f"{at}/pass={i}", hashed.schema)
+        out = scratch.write(_tested(part, -(-rows // passes)), ["again"])
+        scratch.drop(part)
+        for again in parts:
+            if scratch.exists(f"{out}/again={again}"):
+                parts[again].append(scratch.read(f"{out}/again={again}", kind))
+    single, maybe = (reduce(DataFrame.unionByName, p[1:] or p) for p in parts.values())
+    return single, maybe
+
+
 def collapse(records: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFrame:
     """Rows (kept_id, copy_id, copies): each record with the smallest id of its group and the size of the group.
 
@@ -111,23 +166,11 @@ def collapse(records: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFr
     kept apart, so a group may hold any share of the rows. Ids are unique; a null id is left out. No records give no
     rows.
     """
-    spark = records.sparkSession
+    scratch = Scratch(records.sparkSession, "collapse")
     tagged = F.to_json(F.struct(*(c.alias(n) for n, c in keys.items())), {"ignoreNullFields": "false"})
-    hashed = records.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("copy_id"), F.unhex(F.md5(tagged)).alias("key")
-    ).withColumn("h", F.xxhash64("key"))
-    rows = Scratch(spark, "collapse").put(hashed)  # the canonical forms are made once
-    bits = repeat_filter(rows.select("h"), rows.count())
-    shared = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def may_repeat(h):
-        at = _positions(h.to_numpy(), len(shared.value) * 8)
-        hit = (shared.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
-        return pd.Series(hit.all(axis=1))
-
-    tested = rows.withColumn("again", may_repeat("h"))
-    single = tested.where(~F.col("again")).select(F.col("copy_id").alias("kept_id"), "copy_id", F.lit(1).cast("long").alias("copies"))
-    maybe = tested.where("again").select("copy_id", "key")
+    named = records.where(F.col(id_col).isNotNull())
+    hashed = named.select(F.col(id_col).alias("copy_id"), F.unhex(F.md5(tagged)).alias("key")).withColumn("h", F.xxhash64("key"))
+    single, maybe = split(hashed, named.count(), scratch)
+    alone = single.select(F.col("copy_id").alias("kept_id"), "copy_id", F.lit(1).cast("long").alias("copies"))
     groups = maybe.groupBy("key").agg(F.min("copy_id").alias("kept_id"), F.count("*").alias("copies"))
-    return single.unionByName(join_on_unique(maybe, groups, "key", "inner").select("kept_id", "copy_id", "copies"))
+    return alone.unionByName(join_on_unique(maybe, groups, "key", "inner", scratch).select("kept_id", "copy_id", "copies"))

@@ -149,3 +149,15 @@ def test_pareto_inclusion_follows_the_weights(spark):
     rows = mixing.mix(df, targets, weight="w", total=80_000.0).collect()
     even = sum(r.doc_id % 2 == 0 for r in rows)
     assert len(rows) == 8_000 and abs(even - 6_000) < 150
+
+
+def test_filters_grow_in_passes(spark, monkeypatch):
+    from graphloom.runtime import Scratch
+
+    monkeypatch.setattr(dedup, "MAX_BLOCKS", 4)
+    monkeypatch.setattr(dedup, "BLOCK_BITS", 1 << 11)
+    monkeypatch.setattr(dedup, "CHUNK_ROWS", 100)
+    df = spark.range(3_000).select(F.col("id").alias("copy_id"), F.encode((F.col("id") % 2_900).cast("string"), "utf-8").alias("key")).withColumn("h", F.xxhash64("key"))
+    single, maybe = dedup.split(df, 3_000, Scratch(spark, "test"))
+    assert single.count() + maybe.count() == 3_000 and single.select("key").distinct().count() == single.count()
+    assert 200 <= maybe.count() < 400  # singletons stay out of the shuffle although one filter holds only 820 rows
