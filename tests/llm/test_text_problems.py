@@ -217,3 +217,65 @@ def test_towns_that_share_a_first_word(spark):
     for text, town in zip(rows, [t for t in towns for _ in range(12)], strict=True):
         (p,) = [p for p in privacy.find(text, known) if p.kind == "address"]
         assert text[: p.end].endswith(f"High Street, {town}"), text
+
+
+def test_forms_of_emails_and_gates(monkeypatch):
+    import random
+
+    none = privacy.Exact(())
+    for text in ("a.b [chez] mail.example.org", "a.b (arroba) mail (punto) example", "a.b {ät} mail.example.de", "a.b at mail dot example dot org"):
+        assert [(p.kind, text[p.start : p.end]) for p in privacy.find(text, none)] == [("email", text)]
+    rng = random.Random(5)
+    at = ["@", " at ", "(at)", " [AT] ", "{ chez }", "<arroba>", "[ät]", " (At)"]
+    label = ["passport", "Reisepaſs ", "SSN=", "DNı: ", "tax id", "id card no. ", "Steuer-ID", "curp ", "name: ", "Mſ. ", "thanks,\n", "talked to ", "as ", "cc ", "FROM: ", "MR. ", "yours ſincerely,\n"]
+    rest = ["x", "Ada Lovelace", "AB123456", " 12345678 ", "b.example", " dot ", "org", " said ", " "]
+    texts = ["".join(rng.choice(rng.choice([at, label, rest])) for _ in range(rng.randrange(1, 7))) for _ in range(12000)]
+    got = [([*privacy._candidates(t)], [*privacy._anchored(t)]) for t in texts]
+    monkeypatch.setattr(privacy, "holds", lambda low, words: True)
+
+    class Any:
+        search = staticmethod(lambda text: True)
+
+    anchored = [[*privacy._anchored(t)] for t in texts]
+    monkeypatch.setattr(privacy, "AT", Any)
+    assert [c for c, _ in got] == [[*privacy._candidates(t)] for t in texts] and [a for _, a in got] == anchored
+    assert sum(bool(c) for c, _ in got) > 200 and sum(bool(a) for _, a in got) > 200
+
+
+PLAIN = "The office opens at nine and most of the work is done before the lamps are lit, which the plan of the year allows."
+
+
+@pytest.mark.parametrize("bits", [1, 32])
+def test_filters_of_terms_are_checked_exactly(spark, monkeypatch, bits):
+    monkeypatch.setattr(privacy, "BITS_PER_TERM", bits)
+    monkeypatch.setattr(privacy, "MAX_FILTER_BITS", 64 if bits == 1 else 1 << 28)
+    people = [f"{g} {f}" for g in ("Anouk", "Petra", "Tomas", "Zofia") for f in ("Hjortby", "Kestrelman", "Oddvarsen", "Lindqvall")]
+    rows = [(i, f"The queue {i} was restarted. Reviewed-by: {p}\nPlease check the export with {people[(i * 7) % 16]} at noon.") for i, p in enumerate(people * 3)]
+    rows += [(100 + i, f"Word{w} and other words of no person at all {w} {w * 3}") for i, w in enumerate("abcdefghijklmnop")] + [(None, "by Petra Kestrelman"), (None, None), (200, "")]
+    rows += [(300 + i, PLAIN) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = privacy.learn(df.select("text").where("text is not null"))
+    exact = privacy.Exact(f"{r.role}\t{r.term}" for r in known.table.collect())
+    want = {(i, p.kind, t[p.start : p.end]) for i, t in rows for p in privacy.find(t, exact)}
+    assert {(r.doc_id, r.pii_type, r.value) for r in privacy.scan(df, known).collect()} == want and len(want) > 40
+    assert sorted(map(str, map(tuple, privacy.sanitised(df, known).collect()))) == sorted(str((i, privacy.sanitise(t, exact))) for i, t in rows)
+    assert any(known.has("given", w) for w in ("queue", "export", "noon", "words", "check")) == (bits == 1)
+
+
+def test_words_of_no_person_are_no_names(spark):
+    rows = [f"name: retry worker\nThe retry worker {i} runs again, the retry of the worker." for i in range(40)] + [f"author: Petra Kestrelman\nThe export {i} is done." for i in range(5)]
+    rows += ["owner: J. Ostrander\nThe cache is warm and the lamp is off while the meter counts the days of the week."]
+    known = privacy.learn(spark.createDataFrame([(r,) for r in rows + [PLAIN] * 200], "text string"))
+    names = lambda t: [t[p.start : p.end] for p in privacy.find(t, known) if p.kind == "name"]
+    assert names("The retry worker met Petra Kestrelman and J. Ostrander.") == ["Petra Kestrelman", "J. Ostrander"]
+
+
+def test_cues_and_shared_values(spark):
+    rng = __import__("random").Random(1)
+    number = lambda: f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    rows = [f"Shelf {number()} was counted and the lamp is off." for _ in range(60)] + [f"Call Dr. Petra Kestrelman on {number()} before noon." for _ in range(60)]
+    rows += ["Mail help@desk.example for all else, the office is open."] * 40
+    known = privacy.learn(spark.createDataFrame([(r,) for r in rows], "text string"))
+    kinds = lambda t: [p.kind for p in privacy.find(t, known)]
+    assert kinds("Shelf 312-555-0188 again") == [] and kinds("on 312-555-0188 again") == ["phone"] and kinds("fon 312-555-0188") == ["phone"]
+    assert privacy.sanitise("help@desk.example or own@desk.example", known) == "[EMAIL desk.example] or [EMAIL]"
