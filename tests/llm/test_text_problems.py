@@ -263,7 +263,7 @@ def test_filters_of_terms_are_checked_exactly(spark, monkeypatch, bits):
 
 
 def test_words_of_no_person_are_no_names(spark):
-    rows = [f"name: retry worker\nThe retry worker {i} runs again, the retry of the worker." for i in range(40)] + [f"author: Petra Kestrelman\nThe export {i} is done." for i in range(5)]
+    rows = ["name: retry worker"] + [f"The retry worker {i} runs again, the retry of the worker." for i in range(40)] + [f"author: Petra Kestrelman\nThe export {i} is done." for i in range(5)]
     rows += ["owner: J. Ostrander\nThe cache is warm and the lamp is off while the meter counts the days of the week."]
     known = privacy.learn(spark.createDataFrame([(r,) for r in rows + [PLAIN] * 200], "text string"))
     names = lambda t: [t[p.start : p.end] for p in privacy.find(t, known) if p.kind == "name"]
