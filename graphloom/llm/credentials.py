@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,6 +21,10 @@ from graphloom.runtime import spread
 
 #: Characters per subword below which a string is unnatural: prose and identifiers have 3 to 6, random strings 1 to 2.
 NATURAL = 2.6
+#: Characters per subword up to which so many subwords in a row are.
+ODD, ODD_SUBWORDS = 2.0, 3
+#: Strings so unnatural, so long and so mixed are taken for keys wherever their place does not speak against it.
+RANDOM, RANDOM_LENGTH = 1.8, 20
 
 # Forms of tokens that services document for their keys.
 TOKEN = re.compile(
@@ -116,6 +121,8 @@ KNOWN_TERM = re.compile(
     re.I,
 )
 IDENTIFIER = re.compile(r"^(?:[a-z]+(?:[-_./: ][a-z]+)*|[A-Z]+(?:[-_][A-Z]+)*|[a-z]+(?:[A-Z][a-z]+)*|(?:[A-Z][a-z]+)+|[A-Z][a-z]+(?:[-_ ][A-Za-z]+)*)$")
+#: Natural words may make a secret, with numbers behind them.
+PASSPHRASE = re.compile(r"^(?:[^\W\d_]{3,}[^\w\s]?|[^\W\d_]{3,}_)+\d+$")
 UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
 HEX_DIGEST = re.compile(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$", re.I)
 LOGIN_CALL = re.compile(r"(?:^|\.|_)(?:authenticate|log_?in|sign_?in|set_?passwo?r?d|set_?token|basic_?auth|auth|use?r?_?credentials?|networkcredential|usernamepassword\w*|connect|bind|open_?session)$", re.I)
@@ -143,6 +150,12 @@ def _automaton():
     return out
 
 
+#: Runs of characters that may be such a string, and what a place has that holds one which is no credential.
+RUN = re.compile(r"[A-Za-z0-9+/=_.~-]{20,}")
+BENIGN = re.compile(
+    r"integrity|digest|hash|sha\d*|md5|checksum|fingerprint|etag|(?<![a-z])ids?(?![a-z])|[a-z]Ids?(?![a-z])|uuid|guid|revision|commit|build|version|public|cert|cursor|image|icon|base64|data|blob|content|payload|signature|nonce|salt|etag|url|path|src|sample|fixture|example|trace|span|request|session_?name|cache",
+    re.I,
+)
 UNIT_LINES = 4
 #: Characters that are encoded at once; nobody writes placeholders or references of more.
 LONG = 4096
@@ -157,12 +170,21 @@ class Found:
 
 @lru_cache(maxsize=1 << 16)
 def chars_per_subword(text: str) -> float:
+    """Of the whole text, or of its first LONG characters' worth at a time."""
     n = sum(len(encoder().encode_ordinary(text[i : i + LONG])) for i in range(0, len(text), LONG))
     return len(text) / n if n else 0.0
 
 
+@lru_cache(maxsize=1 << 16)
+def odd_part(text: str) -> bool:
+    """Whether a few subwords in a row are as short as those of random strings, behind whatever words."""
+    sizes = [len(encoder().decode_single_token_bytes(i)) for i in encoder().encode_ordinary(text[:LONG])]
+    return any(sum(sizes[i : i + ODD_SUBWORDS]) <= ODD * ODD_SUBWORDS for i in range(len(sizes) - ODD_SUBWORDS + 1))
+
+
 def unnatural(text: str) -> bool:
-    return len(text) >= 8 and chars_per_subword(text) < NATURAL
+    """Whether a string is unlike words, in whole or in a part of it."""
+    return len(text) >= 8 and (chars_per_subword(text) < NATURAL or odd_part(text))
 
 
 @lru_cache(maxsize=1 << 14)
@@ -224,7 +246,21 @@ def usable(value: str, strength: int) -> bool:
         return False
     if UUID.match(value) and strength < 1:
         return False
-    return bool(re.search(r"\d", value)) or unnatural(value) or bool(re.search(r"[^\w.:/-]", value)) and strength == 2
+    if unnatural(value) or PASSPHRASE.match(value):
+        return True
+    return strength == 2 and len(value) < 8 and bool(re.search(r"\d|[^\w.:/-]", value))
+
+
+def random_key(value: str) -> bool:
+    """Whether a string is a key by itself: long, of capitals, small letters and digits, and far from any words."""
+    return (
+        len(value) >= RANDOM_LENGTH
+        and RUN.fullmatch(value) is not None
+        and all(re.search(c, value) for c in ("[A-Z]", "[a-z]", r"\d"))
+        and not (UUID.match(value) or PATHLIKE.search(value) or REFERENCE.search(value) or PLACEHOLDER.search(value) or re.match(r"(?:sha\d+|md5)[-:]|data:", value))
+        and decoded(value) is None
+        and chars_per_subword(value) < RANDOM
+    )
 
 
 def usable_header(value: str) -> bool:
@@ -300,16 +336,17 @@ def _unit_end(text: str, at: int, end: int) -> int:
 def find(text: str, path: str | None = None) -> list[Found]:
     """Credentials of one text, at most one a line, in order of their lines.
 
-    One pass of an automaton marks the lines on which anything could be found. On these, unnatural strings (by
-    characters per subword) and strings in a place that asks for a secret are candidates; rules on name, value and
-    surroundings decide. ``path`` tells code from configuration, where values stand without quotes; with no path the
+    Lines are looked at that hold a run of characters unlike any words (by characters per subword), and those that one
+    pass of an automaton finds to speak of a secret. On these every literal and setting is measured: unnatural ones are
+    credentials if name and surroundings ask for a secret, and, if they are as good as random, unless these speak
+    against it; natural ones only as passwords. ``path`` tells code from configuration, where values stand without quotes; with no path the
     text is taken for configuration. Empty texts have none.
     """
     low = text.lower()
     code = bool(path and CODE_FILE.search(path))
     starts: list[int] = []
     if len(low) != len(text) or MANIFEST in low:  # a letter that changes its length: offsets would not hold
-        starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        starts = _starts(text)
     else:
         done = -1
         for end, _ in _automaton().iter(low):
@@ -318,6 +355,8 @@ def find(text: str, path: str | None = None) -> list[Found]:
                 done = text.find("\n", end)
                 if done < 0:
                     break
+        random = {text.rfind("\n", 0, m.start()) + 1 for m in RUN.finditer(text) if random_key(m[0])}
+        starts = sorted(random.union(starts)) if random else starts
     spots: list[tuple[int, str, list[tuple[int, int]]]] = []
     for at in starts:
         end = at
@@ -346,10 +385,10 @@ def _unit(text: str, code: bool) -> tuple[tuple[int, str, tuple[tuple[int, int],
     if "PRIVATE KEY" in line:
         for m in PRIVATE_KEY.finditer(text):
             body = re.sub(r"\\[nr]|\s|[\"'+`,|>]", "", m["body"])
-            if m.start() < first and len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 24 and not PLACEHOLDER.search(body[:200]):
+            if m.start() < first and len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 24 and unnatural(body) and not PLACEHOLDER.search(body[:200]):
                 spots.append((m.start(), "private_key", ()))
     for m in TOKEN.finditer(line):
-        if not PLACEHOLDER.search(m[0]):
+        if unnatural(m[0]) and not PLACEHOLDER.search(m[0]):
             spots.append((m.start(), "token", (m.span(),)))
     if "://" in line:
         for m in USERINFO.finditer(line):
@@ -377,13 +416,14 @@ def _unit(text: str, code: bool) -> tuple[tuple[int, str, tuple[tuple[int, int],
                 spots.append((lo, "argument", tuple(spans)))
             previous = (spans[-1][1], value)
             continue
-        kind = _literal_kind(value, before[-200:].rstrip() if lo > first else before[-200:], previous)
+        kind = _literal_kind(value, _tail(before), previous, line)
         if kind:
             spots.append((lo, kind, tuple(spans)))
         previous = (spans[-1][1], value)
     if (m := PLAIN_LINE.match(line)) and (not code or m["lead"].strip(" \texpors-")):
         value = (m["value"] if code else re.split(r"\s+#", m["value"])[0]).rstrip(",;")
-        if names_secret(m["name"]) and usable(value, names_secret(m["name"])) or _hidden(value):
+        named = names_secret(m["name"]) and usable(value, names_secret(m["name"]))
+        if named or _hidden(value) or random_key(value) and not BENIGN.search(line.replace(value, "")):
             spots.append((m.start("value"), "setting", ((m.start("value"), m.start("value") + len(value)),)))
     if (m := COMMENT.search(line)) and (s := SPOKEN.search(m["text"])) and _spoken(s["secret"].strip("\"'`.,;")):
         at = m.start("text") + s.start("secret")
@@ -409,11 +449,24 @@ def _spoken(value: str) -> bool:
     return bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value)) or bool(re.search(r"[^\w./:-]", value))
 
 
+def _tail(before: str, enough: int = 200) -> str:
+    """The end of what stands before a literal, blanks taken together, with the whole of the name it begins with."""
+    n = 2 * enough
+    while True:
+        tail = re.sub(r"\s+", " ", before[-n:])
+        start = max(0, len(tail) - enough)
+        while start and (tail[start - 1].isalnum() or tail[start - 1] in "_.$-"):
+            start -= 1
+        if start or n >= len(before):
+            return tail[start:].rstrip()
+        n *= 4
+
+
 def _argument(value: str) -> bool:
     return bool(value) and not HEX_DIGEST.match(value) and usable(value, 2) and bool(unnatural(value) or re.search(r"\d", value))
 
 
-def _literal_kind(value: str, before: str, previous: tuple[int, str] | None) -> str | None:
+def _literal_kind(value: str, before: str, previous: tuple[int, str] | None, line: str) -> str | None:
     if not value:
         return None
     m = NAMED.search(before)
@@ -421,29 +474,36 @@ def _literal_kind(value: str, before: str, previous: tuple[int, str] | None) ->
         strength = names_secret(m["name"])
         if strength and usable(value, strength):
             return "literal"
-        if TOKEN.fullmatch(value):
-            return "token"
-        return "setting" if _hidden(value) else None
-    if previous is not None and AFTER_NAME.search(before) and re.fullmatch(r"[\w.-]+", previous[1]):
+    elif previous is not None and AFTER_NAME.search(before) and re.fullmatch(r"[\w.-]+", previous[1]):
         strength = names_secret(previous[1])
         if strength and usable(value, strength):
             return "literal"
-    call = _call_before(before)
-    if call and LOGIN_CALL.search(call) and _argument(value):
-        return "argument"
-    if TOKEN.fullmatch(value):
+    if m is None:
+        call = _call_before(before)
+        if call and LOGIN_CALL.search(call) and _argument(value):
+            return "argument"
+    if TOKEN.fullmatch(value) and unnatural(value):
         return "token"
-    return "setting" if _hidden(value) else None
+    if _hidden(value):
+        return "setting"
+    return "string" if random_key(value) and not BENIGN.search(line.replace(value, "")) else None
+
+
+def _starts(text: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer("\n", text))]
 
 
 def _by_line(text: str, spots: list[tuple[int, str, list[tuple[int, int]]]]) -> list[Found]:
     out: dict[int, tuple[str, list[tuple[int, int]]]] = {}
-    covered: list[tuple[int, int]] = []
+    covered: list[tuple[int, int]] = []  # apart from each other, in order
+    starts = _starts(text) if spots else []
     for at, kind, spans in sorted(spots):
-        if any(lo <= at < hi for lo, hi in covered):
+        i = bisect_right(covered, (at, len(text)))
+        if i and at < covered[i - 1][1]:
             continue
-        covered.extend(spans)
-        line = text.count("\n", 0, at) + 1
+        for span in spans:
+            insort(covered, span)
+        line = bisect_right(starts, at)
         if line in out:
             out[line][1].extend(spans)
         else:

@@ -279,3 +279,27 @@ def test_cues_and_shared_values(spark):
     kinds = lambda t: [p.kind for p in privacy.find(t, known)]
     assert kinds("Shelf 312-555-0188 again") == [] and kinds("on 312-555-0188 again") == ["phone"] and kinds("fon 312-555-0188") == ["phone"]
     assert privacy.sanitise("help@desk.example or own@desk.example", known) == "[EMAIL desk.example] or [EMAIL]"
+
+
+def test_the_measure_decides(monkeypatch):
+    texts = [(t, p) for t, p in SECRETS]
+    assert all(C.find(t, p) for t, p in texts)
+    C._unit.cache_clear()
+    monkeypatch.setattr(C, "unnatural", lambda text: False)
+    monkeypatch.setattr(C, "chars_per_subword", lambda text: 9.0)
+    assert sum(bool(C.find(t, p)) for t, p in texts) < len(texts) / 2
+    C._unit.cache_clear()
+
+
+def test_random_strings_need_no_keyword():
+    assert [f.kind for f in C.find(f"const x = '{KEY}';", "a.ts")] == ["string"] and C.find(f"conf: {KEY}\n", "c.yaml")
+    for code in (f"const fileDigest = '{KEY}';", f"requestId: '{KEY}'", "x = '" + "ab12" * 10 + "'", "host: YmFkZ2UtZGIuaW50ZXJuYWwuZXhhbXBsZQ=="):
+        assert not C.find(code, "c.yaml")
+
+
+def test_long_names_and_many_findings():
+    name = "deployment_" * 40 + "password"
+    assert C.find(f"{name}   =      'Tundra-maple-442'", "a.py")
+    many = f"password = '{KEY}'\n" * 3_000
+    found = C.find(many, "a.py")
+    assert [f.line for f in found] == list(range(1, 3_001)) and KEY not in C.redact(many, found)
