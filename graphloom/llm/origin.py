@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import string
 from array import array
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import syntax
 from graphloom.runtime import spread
 
 # File name extensions by the language whose names they hold.
@@ -22,7 +24,6 @@ FAMILY = {
     "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "cs": "c_sharp",
 }
 NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
-MAX_NAME = 64
 #: Characters of names; with the marks of beginning and end there are at most SYMBOLS ** 3 n-grams a language.
 SYMBOLS = 66
 SMOOTHING = 0.1
@@ -36,10 +37,12 @@ TINY_SHARE = 0.6
 #: Data saved as code: at least so many literals, making up this share of the visible characters, and no more than so
 #: many different names around them.
 DATA_LITERALS, DATA_SHARE, DATA_NAMES = 6, 0.6, 12
-#: Template-like: this share of at least TEMPLATE_LINES lines repeats the form of another line that often.
-TEMPLATE_LINES, TEMPLATE_SHARE = 60, 0.12
-#: A naming style is foreign to a language if it makes up less of its compound names than this.
-FOREIGN_STYLE = 0.05
+#: Template-like: of so many trigrams of names at least, so many standard deviations fewer are different than in files of
+#: that size and language, of which there have to be so many.
+TEMPLATE_TRIGRAMS, TEMPLATE_DEVIATIONS, TEMPLATE_FILES = 400, -6.0, 100
+#: A naming style is foreign to a language if it makes up less of its compound names than this, and a file is if most of
+#: its compound names are of such a style, with so much log-likelihood against the styles of its language; half of it will do under a version or licence.
+FOREIGN_STYLE, FOREIGN_EVIDENCE = 0.05, 20.0
 
 # What generators and copied libraries write at the top of a file.
 GENERATED = re.compile(
@@ -56,6 +59,7 @@ ORIGIN = re.compile(
     r"\bupstream\s*:|\b(?:copied|vendored|taken|adapted|imported|backported) from\b|\(c\)[^\n]*\b(?:contributors|authors)\b|^\W*[\w.@/-]+\s+v?\d+\.\d+(?:\.\d+)\b|\blocal patches\b",
     re.I | re.M,
 )
+
 VERSION = re.compile(r"\b[vV@]?\s?\d+\.\d+\.\d+\b")
 
 _NAMES = r"node_modules|bower_components|jspm_packages|third[_-]?party|_vendor|vendored|external|extern|Pods|Carthage"
@@ -73,7 +77,6 @@ VENDORED, GENERATED_AT = re.compile(VENDORED_PATH), re.compile(GENERATED_PATH)
 
 COMMENT_LINE = re.compile(r"\s*(?://|#|\*|/\*|<!--|--|\"\"\"|'''|;)")
 LITERAL = re.compile(r'"[^"\n]*"|\'[^\'\n]*\'|(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[A-Za-z]?(?!\w)')
-FORM = re.compile(r"[A-Za-z_$][\w$]*|\d+|\"[^\"\n]*\"|'[^'\n]*'")
 COMPOUND = re.compile(r"(?P<snake>^[a-z][a-z0-9]*(?:_[a-z0-9]+)+$)|(?P<camel>^[a-z][a-z0-9]*(?:[A-Z][a-z0-9]*)+$)|(?P<pascal>^(?:[A-Z][a-z0-9]+){2,}$)")
 
 
@@ -82,7 +85,7 @@ def family(path: str | None) -> str | None:
 
 
 def names(text: str) -> set[str]:
-    return {w for w in NAME.findall(text) if len(w) <= MAX_NAME}
+    return set(NAME.findall(text))
 
 
 def style(name: str) -> str | None:
@@ -114,14 +117,27 @@ def _indexes(name: str) -> list[int]:
 _CODE = {c: i for i, c in enumerate("^\n$_" + string.digits + string.ascii_letters)}
 
 
+def diversity(text: str) -> tuple[int, int]:
+    """Trigrams of all names of a text, repeated ones too, and how many of them are different."""
+    all_names = Counter(NAME.findall(text))
+    return sum(n * (len(w) + 1) for w, n in all_names.items()), len({i for w in all_names for i in _indexes(w)})
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, text) to counts (family, item, n) of one partition: trigrams, and styles (below 0), of its names."""
+    """Rows (path, text) to counts (family, item, n) of one partition, over the files that no other sign tells and whose names are
+    not all short: trigrams of their names, and, below 0, styles and the sums for the usual diversity."""
     words: dict[str, Counter] = {}
+    sums: dict[str, Counter] = {}
     for batch in batches:
         for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             lang = family(path)
-            if lang and text and not is_data(text):
-                words.setdefault(lang, Counter()).update(names(text))
+            own = names(text) if lang and text else None
+            if own and not (short_names(text, own) or is_data(text) or told_by_head(text) or told_by_path(path)):
+                words.setdefault(lang, Counter()).update(own)
+                n, different = diversity(text)
+                if n >= TEMPLATE_TRIGRAMS:
+                    x, y = math.log(n), math.log(different)
+                    sums.setdefault(lang, Counter()).update(dict(zip(SUMS, (round(v * SCALE) for v in (1, x, y, x * x, x * y, y * y)), strict=True)))
     for lang, counter in words.items():
         items = Counter()
         for w, n in counter.items():
@@ -129,21 +145,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 items[i] += n
             if s := style(w):
                 items[STYLES[s]] += n
+        items.update(sums.get(lang, {}))
         yield pa.RecordBatch.from_pydict(
             {"family": [lang] * len(items), "item": pa.array(list(items), pa.int64()), "n": pa.array(list(items.values()), pa.int64())}
         )
 
 
 STYLES = {"snake": -1, "camel": -2, "pascal": -3}
+SUMS, SCALE = range(-9, -3), 1 << 20
 
 
 class Names:
-    """Character trigram models of the names of each language: bits of each trigram, and how often each style occurs."""
+    """Character trigram models of the names of each language: bits of each trigram, how often each style occurs, and how
+    the number of different trigrams grows with the size of a file."""
 
     def __init__(self, counts: dict[str, dict[int, int]]):
         self.costs: dict[str, array] = {}
         self.typical: dict[str, float] = {}
         self.styles: dict[str, dict[str, int]] = {}
+        self.usual: dict[str, tuple[float, float, float] | None] = {}
         for lang, items in counts.items():
             n = np.zeros(SYMBOLS**3)
             at = [i for i in items if i >= 0]
@@ -153,8 +173,20 @@ class Names:
             self.typical[lang] = float((n * bits).sum() / max(1.0, n.sum()))
             self.costs[lang] = array("f", bits.astype(np.float32).tobytes())
             self.styles[lang] = {s: items.get(i, 0) for s, i in STYLES.items()}
+            self.usual[lang] = self._line([items.get(i, 0) / SCALE for i in SUMS])
         self._wrap()
 
+    @staticmethod
+    def _line(sums: list[float]) -> tuple[float, float, float] | None:
+        """Level, slope and deviation of log different trigrams by log trigrams."""
+        n, x, y, xx, xy, yy = sums
+        spread_x = xx - x * x / n if n else 0.0
+        if n < TEMPLATE_FILES or spread_x <= 0:
+            return None
+        slope = (xy - x * y / n) / spread_x
+        left = max(0.0, yy - y * y / n - slope * (xy - x * y / n))
+        return (y - slope * x) / n, slope, max(1e-3, math.sqrt(left / n))
+
     def _wrap(self) -> None:
         self.bits = lru_cache(maxsize=1 << 17)(self._bits)
 
@@ -171,10 +203,10 @@ class Names:
 
 
 def train(files: DataFrame) -> Names:
-    """Models of all files (file_path, text), each counting a name once.
+    """Models of the files (file_path, text) that no header, path or share of literals tells, each counting a name once.
 
     Counts are summed in each partition before the shuffle. What reaches the driver, and the executors as models, is
-    bounded: SYMBOLS ** 3 numbers and three styles for each of the known languages.
+    bounded: SYMBOLS ** 3 numbers, three styles and six sums for each of the known languages.
     """
     sums = (
         spread(files.select("file_path", "text"))
@@ -202,58 +234,93 @@ def is_data(text: str) -> bool:
     return len(names(LITERAL.sub("", text))) <= DATA_NAMES
 
 
-def is_template(text: str) -> bool:
-    lines = [s for line in text.split("\n") if len(s := line.strip()) > 3]
-    if len(lines) < TEMPLATE_LINES:
+def short_names(text: str, own: set[str]) -> bool:
+    return len(own) >= 8 and sum(map(len, own)) < MANGLED_LENGTH * len(own) and _dense(text)
+
+
+def mangled(lang: str, text: str, own: set[str], model: Names) -> bool:
+    """Short names, used over and over, that cost many bits under the model of their language or are mostly tiny."""
+    if not short_names(text, own):
         return False
-    return len({FORM.sub("~", s) for s in lines}) < TEMPLATE_SHARE * len(lines)
+    bits = sum(model.bits(lang, w) for w in own) / len(own)
+    return bits > MANGLED_BITS * model.typical[lang] or sum(len(w) < 3 for w in own) > TINY_SHARE * len(own)
 
 
-def foreign(lang: str, own: set[str], styles: dict[str, dict[str, int]]) -> bool:
-    """Whether the compound names of a file are mostly of a style that its language hardly uses."""
+def is_template(lang: str, text: str, model: Names) -> bool:
+    """Whether the names of a text have far fewer different trigrams than other texts of its size."""
+    usual = model.usual.get(lang)
+    if usual is None:
+        return False
+    n, different = diversity(text)
+    level, slope, deviation = usual
+    return n >= TEMPLATE_TRIGRAMS and math.log(different) - level - slope * math.log(n) < TEMPLATE_DEVIATIONS * deviation
+
+
+def foreign(lang: str, text: str, own: set[str], styles: dict[str, dict[str, int]]) -> bool:
+    """Whether the compound names of a file are mostly of a style that its language hardly uses, though it is written in
+    that language by its typical tokens."""
     count = Counter(s for w in own if (s := style(w)))
-    known = styles.get(lang, {})
-    if sum(count.values()) < 5 or not known:
+    known, n = styles.get(lang, {}), sum(count.values())
+    total = sum(known.values())
+    if not n or not total:
+        return False
+    s, most = count.most_common(1)[0]
+    evidence = sum(c * math.log(c / n * (total + len(STYLES)) / (known.get(k, 0) + 1)) for k, c in count.items())
+    if most <= 0.5 * n or known.get(s, 0) >= FOREIGN_STYLE * total or evidence < FOREIGN_EVIDENCE / 2:
         return False
-    s, n = count.most_common(1)[0]
-    return n > 0.5 * sum(count.values()) and known.get(s, 0) < FOREIGN_STYLE * sum(known.values())
+    if evidence < FOREIGN_EVIDENCE and not ((head := top(text)) and (VERSION.search(head) or LICENSE.search(head))):
+        return False
+    return syntax.ranked(text)[0] == lang
 
 
-def judge(path: str | None, text: str | None, model: Names) -> str | None:
-    """generated, vendored, data, minified, or None for a file written by hand.
+def told_by_head(text: str) -> str | None:
+    head = top(text)
+    if head:
+        if GENERATED.search(NEGATED.sub("", head)):
+            return "generated"
+        if LICENSE.search(head) and ORIGIN.search(head):
+            return "vendored"
+    return None
 
-    Comments at the head and the path decide first, then the text: literals in place of code, names that cost many bits
-    under the model of their language, lines of few forms, and foreign naming with a version or licence at the head. A
-    file that merely mentions such things in its code, or is named like them, is written by hand. Null and empty texts
-    are judged by their path alone; a null path by the text alone.
-    """
-    if text:
-        head = top(text)
-        if head:
-            if GENERATED.search(NEGATED.sub("", head)):
-                return "generated"
-            if LICENSE.search(head) and ORIGIN.search(head):
-                return "vendored"
+
+def told_by_path(path: str | None) -> str | None:
     if path:
         unix = path.replace("\\", "/")
         if VENDORED.search(unix):
             return "vendored"
         if GENERATED_AT.search(unix):
             return "generated"
-    if not text:
-        return None
-    if is_data(text):
-        return "data"
+    return None
+
+
+def signs(path: str | None, text: str | None, model: Names) -> Iterator[tuple[str, str]]:
+    """(sign, origin) of all that speaks for an origin, the names first: mangled, template, foreign; literals, head, path."""
     lang = family(path)
-    if lang in model.costs:
+    if text:
         own = names(text)
-        if len(own) >= 8 and sum(map(len, own)) < MANGLED_LENGTH * len(own) and _dense(text):
-            bits = sum(model.bits(lang, w) for w in own) / len(own)
-            if bits > MANGLED_BITS * model.typical[lang] or sum(len(w) < 3 for w in own) > TINY_SHARE * len(own):
-                return "minified"
-        if (VERSION.search(head) or LICENSE.search(head)) and foreign(lang, own, model.styles):
-            return "vendored"
-    return "generated" if is_template(text) else None
+        data = is_data(text)
+        if data:
+            yield "literals", "data"
+        elif lang in model.costs:
+            if mangled(lang, text, own, model):
+                yield "mangled", "minified"
+            if is_template(lang, text, model):
+                yield "template", "generated"
+            if foreign(lang, text, own, model.styles):
+                yield "foreign", "vendored"
+        if told := told_by_head(text):
+            yield "head", told
+    if told := told_by_path(path):
+        yield "path", told
+
+
+def judge(path: str | None, text: str | None, model: Names) -> str | None:
+    """generated, vendored, data, minified, or None for a file written by hand: what the first of the ``signs`` says.
+
+    A file that merely mentions such things in its code, or is named like them, is written by hand. Null and empty texts
+    are judged by their path alone; a null path by the text alone, without the models of names.
+    """
+    return next((origin for _, origin in signs(path, text, model)), None)
 
 
 def _dense(text: str) -> bool:
