@@ -242,8 +242,9 @@ def mangled(lang: str, text: str, own: set[str], model: Names) -> bool:
     """Short names, used over and over, that cost many bits under the model of their language or are mostly tiny."""
     if not short_names(text, own):
         return False
-    bits = sum(model.bits(lang, w) for w in own) / len(own)
-    return bits > MANGLED_BITS * model.typical[lang] or sum(len(w) < 3 for w in own) > TINY_SHARE * len(own)
+    if sum(len(w) < 3 for w in own) > TINY_SHARE * len(own):
+        return True
+    return lang in model.costs and sum(model.bits(lang, w) for w in own) > MANGLED_BITS * model.typical[lang] * len(own)
 
 
 def is_template(lang: str, text: str, model: Names) -> bool:
@@ -301,7 +302,7 @@ def signs(path: str | None, text: str | None, model: Names) -> Iterator[tuple[st
         data = is_data(text)
         if data:
             yield "literals", "data"
-        elif lang in model.costs:
+        elif lang:
             if mangled(lang, text, own, model):
                 yield "mangled", "minified"
             if is_template(lang, text, model):
