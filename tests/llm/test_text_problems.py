@@ -307,7 +307,7 @@ def test_long_names_and_many_findings():
 
 def test_signs_of_names(spark):
     rng = __import__("random").Random(7)
-    words = ["order", "price", "stock", "cart", "ledger", "queue", "thread", "parcel", "badge", "meter", "claim", "fare", "grant", "harbor", "island", "kettle"]
+    words = ["".join(rng.choice("bcdfglmnprstvwz") + rng.choice("aeiouy") for _ in range(3)) for _ in range(600)]
     camel = lambda: rng.choice(words) + rng.choice(words).title() + rng.choice(words).title()
     body = lambda n, name: "import { Store } from './store';\nexport class Thing {\n" + "".join(f"  async {name()}({name()}: number) {{\n    const {name()} = await this.{name()}({name()});\n    return {name()};\n  }}\n" for _ in range(n)) + "}\n"
     files = [(f"h{i}", f"src/h{i}.ts", body(rng.randrange(4, 60), camel)) for i in range(160)]
@@ -315,9 +315,9 @@ def test_signs_of_names(spark):
     one = iter(range(10_000))
     files += [("foreign", "src/f.ts", body(20, snake)), ("template", "src/t.ts", body(60, lambda: f"fieldValue{next(one) % 3}"))]
     files += [("python", "src/p.ts", "import os\nfrom a import b\n\n" + "".join(f"def {snake()}(self):\n    {snake()} = self.{snake()}\n    return {snake()}\n" for _ in range(20)))]
-    files += [("long", "src/l.ts", "const " + "aB" * 100_000 + " = 1;\n")]
     df = spark.createDataFrame(files, "file_id string, file_path string, text string")
     model = origin.train(df)
     got = {i: list(origin.signs(p, t, model)) for i, p, t in files}
     assert got.pop("foreign") == [("foreign", "vendored")] and got.pop("template") == [("template", "generated")]
     assert not any(got.values())
+    assert origin.judge("src/l.ts", "const " + "aB" * 100 + " = 1;\n", model) is None and origin.diversity("aB" * 100_000) == (200_001, 5)
