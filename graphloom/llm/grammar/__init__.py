@@ -12,6 +12,8 @@ from graphloom.llm.grammar.golang import Go
 from graphloom.llm.grammar.java import Java
 from graphloom.llm.grammar.script import Script
 
+#: Calls that a character may open at most, as an opening bracket does in the longest chain of rules.
+FRAMES = 60
 LANGUAGES = ("python", "javascript", "typescript", "java", "go", "c_sharp")
 
 
@@ -33,16 +35,20 @@ PARSERS = {
 
 
 def error(text: str, language: str) -> str | None:
-    """What is wrong with a text in a language, or None. A byte order mark at the start is no part of the text."""
+    """What is wrong with a text in a language, or None. A byte order mark at the start is no part of the text.
+
+    The parsers recurse in Python alone, which takes no machine stack, so the depth they may reach grows with the text:
+    nesting is followed down to MAX_DEPTH brackets. Python's own parser has limits, as its users know; what it refuses is not valid to it.
+    """
     text = text.removeprefix("\ufeff")
     depth = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(depth, 6000))
+    sys.setrecursionlimit(max(depth, 6000 + FRAMES * len(text)))
     try:
         PARSERS[language](text)
     except (Bad, SyntaxError, ValueError) as e:
         return str(getattr(e, "msg", None) or e) or type(e).__name__
     except (RecursionError, MemoryError):
-        return None  # nested deeper than can be followed; no error was met on the way
+        return "nested too deeply"
     finally:
         sys.setrecursionlimit(depth)
     return None

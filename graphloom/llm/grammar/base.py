@@ -9,6 +9,9 @@ class Bad(Exception):
     """The text is not valid; the message names the line and what stands there."""
 
 
+#: Brackets within each other that are followed. Deeper texts count as invalid: the languages' own compilers give up on
+#: them at some thousands of levels too.
+MAX_DEPTH = 5000
 WORD = r"[^\W\d]\w*"
 
 
@@ -65,6 +68,8 @@ class Tokens:
                 continue
             if t in "([{" and t:
                 stack.append(i)
+                if len(stack) > MAX_DEPTH:
+                    raise self.bad_at(self.at[i], "nested too deeply:")
             elif t in close:
                 if not stack or self.t[stack[-1]] != close[t]:
                     raise self.bad_at(self.at[i])
@@ -114,10 +119,15 @@ class Tokens:
         return self.k[self.i] in kinds
 
     def tried(self, rule, *args) -> bool:
-        """Run a rule; on failure go back and return False."""
+        """Run a rule; on failure go back and return False. Calls with unpacked arguments would take machine stack."""
         at = self.i
         try:
-            rule(*args)
+            if not args:
+                rule()
+            elif len(args) == 1:
+                rule(args[0])
+            else:
+                rule(args[0], args[1])
         except Bad:
             self.i = at
             return False

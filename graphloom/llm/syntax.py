@@ -40,22 +40,30 @@ def ranked(text: str) -> list[str]:
     return sorted(_TYPICAL, key=lambda k: -len(_TYPICAL[k].findall(text)))
 
 
+def outcomes(path: str | None, text: str) -> dict[str, str | None]:
+    """What each grammar says of a text, the likeliest language first: None where it parses, else the message. The grammar of
+    the extension stands for its language."""
+    own = extension_language(path)
+    named = NAMED.get(own, own)
+    return {lang: grammar.error(text, own if lang == named else lang) for lang in ranked(text)}
+
+
 def examine(path: str | None, text: str | None) -> tuple[str, str | None, str | None] | None:
     """(kind, language, message) of a text that is invalid in the language of its extension, else None.
 
-    kind is wrong_extension if the text parses in another language, which is given, and corrupt if it parses in none.
-    Null and empty texts, and paths whose extension stands for no known language, are not judged.
+    The text is parsed by all grammars. kind is wrong_extension if it parses in another language, the likeliest of which
+    is given, and corrupt if it parses in none. Null and empty texts, and paths whose extension stands for no known
+    language, are not judged.
     """
     lang = extension_language(path)
     if lang is None or not text:
         return None
-    message = grammar.error(text, lang)
+    said = outcomes(path, text)
+    message = said.pop(NAMED.get(lang, lang))
     if message is None:
         return None
-    for other in ranked(text):
-        if other != NAMED.get(lang, lang) and text.strip() and grammar.error(text, other) is None:
-            return "wrong_extension", other, message
-    return "corrupt", None, message
+    other = next((name for name, error in said.items() if error is None and text.strip()), None)
+    return ("wrong_extension" if other else "corrupt"), other, message
 
 
 SCHEMA = "file_id string, project_id string, language string, kind string, parses_as string, message string"
@@ -65,8 +73,7 @@ def invalid(files: DataFrame) -> DataFrame:
     """Rows (file_id, project_id, language, kind, parses_as, message) of the files that do not parse.
 
     ``files`` has file_id, project_id, file_path and text; columns beyond these, such as errors and language, play no
-    part. Each text is parsed in the task that reads it, by the grammar of its extension and, if that fails, by all
-    others in order of their likelihood; nothing is shuffled. No files give no rows.
+    part. Each text is parsed in the task that reads it, by all grammars; nothing is shuffled. No files give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -321,3 +321,17 @@ def test_signs_of_names(spark):
     assert got.pop("foreign") == [("foreign", "vendored")] and got.pop("template") == [("template", "generated")]
     assert not any(got.values())
     assert origin.judge("src/l.ts", "const " + "aB" * 100 + " = 1;\n", model) is None and origin.diversity("aB" * 100_000) == (200_001, 5)
+
+
+@pytest.mark.parametrize("lang,head,tail", [("javascript", "x = ", ";"), ("typescript", "x = ", ";"), ("java", "class A { int x = ", "; }"), ("go", "package a\n\nvar x = ", "\n"), ("c_sharp", "var x = ", ";")])
+def test_deep_nesting(lang, head, tail):
+    n = 2_000
+    assert grammar.error(head + "(" * n + "1" + ")" * n + tail, lang) is None
+    assert grammar.error(head + "(" * n + "1 1" + ")" * n + tail, lang) and grammar.error(head + "(" * n + "1" + ")" * (n - 1) + tail, lang)
+    assert "nested too deeply" in grammar.error(head + "(" * 6_000 + "1" + ")" * 6_000 + tail, lang)
+
+
+def test_all_grammars_are_asked():
+    said = syntax.outcomes("a.ts", "def f(x):\n    return x\n")
+    assert list(said)[0] == "python" and set(said) == set(grammar.LANGUAGES) and [k for k, v in said.items() if v is None] == ["python"]
+    assert syntax.outcomes("a.tsx", "const a = <b>c</b>;")["typescript"] is None
