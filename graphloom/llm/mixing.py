@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from graphloom.runtime import Scratch
 
 BUCKETS = 1 << 16
-MAX_SOURCES = 10_000
+MAX_SOURCES = 1_000
+#: Classes of weights a source, by which the rate of expected copies is found: an eighth of an octave each.
+WEIGHT_CLASSES, PER_OCTAVE = 1 << 10, 8
 
 
 def uniform(seed: int, *cols) -> Column:
@@ -96,11 +98,20 @@ def _order(*cols):
 
 
 def _rates(base: DataFrame, need: dict[str, float], most: dict[str, int]) -> dict[str, float]:
-    """Expected copies per weight such that a source's copies, each capped, have its tokens. A row per source each round."""
+    """Expected copies per weight such that a source's copies, each capped, have its tokens.
+
+    One pass makes a histogram of the weights, a row for each class of a source, which tells nearly which documents are
+    capped; from there the exact sums of capped and other documents settle the rate within a pass or two. A row per source
+    each round.
+    """
     if not need:
         return {}
-    rate = dict.fromkeys(need, 0.0)
     spark = base.sparkSession
+    kind = F.least(F.greatest(F.floor(F.log2("w") * PER_OCTAVE), F.lit(-WEIGHT_CLASSES // 2)), F.lit(WEIGHT_CLASSES // 2)).alias("kind")
+    classes: dict[str, list[tuple[float, float, float]]] = {}
+    for r in base.groupBy("source", kind).agg(F.sum("x").alias("x"), F.sum(F.col("w") * F.col("x")).alias("wx")).collect():
+        classes.setdefault(r.source, []).append((r.wx / r.x, float(r.x), float(r.wx)))
+    rate = {s: _rate(classes.get(s, []), need[s], most[s]) for s in need}
     for _ in range(50):
         at = spark.createDataFrame(list(rate.items()), "source string, rate double")
         capped = F.col("rate") * F.col("w") >= F.col("most")
@@ -115,6 +126,17 @@ def _rates(base: DataFrame, need: dict[str, float], most: dict[str, int]) -> dic
     return rate
 
 
+def _rate(classes: list[tuple[float, float, float]], need: float, most: int) -> float:
+    """The rate at which classes (weight, tokens, weighted tokens) give what is needed, the heaviest being capped first."""
+    full, free = 0.0, sum(wx for *_, wx in classes)
+    for w, x, wx in sorted(classes, reverse=True):
+        rate = (need - full) / free if free > 0 else 0.0
+        if rate * w < most:
+            return rate
+        full, free = full + most * x, free - wx
+    return most / min((w for w, *_ in classes), default=1.0)
+
+
 def _cuts(ranked: DataFrame) -> DataFrame:
     """Per source: tokens left to draw, the class in which they are reached, and the tokens in the classes before it."""
     per = ranked.groupBy("source", "bucket").agg(

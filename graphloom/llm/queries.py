@@ -95,11 +95,11 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = Scratch(spark, "counts").put(
-        tokenizer.encode(table(spark, sf, "documents"), ["doc_id", "source"], count_only=True)
-    )
+    """Documents weigh by their characters per token: plain prose is likelier to be taken than noise."""
+    counted = tokenizer.encode(table(spark, sf, "documents"), ["doc_id", "source", "n_chars"], count_only=True)
+    docs = Scratch(spark, "counts").put(counted.withColumn("weight", F.col("n_chars") / F.when(F.col("n_tokens") > 0, F.col("n_tokens"))))
     targets = table(spark, sf, "mix_targets")
-    return mixing.mix(docs, targets), docs, targets
+    return mixing.mix(docs, targets, weight="weight"), docs, targets
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:

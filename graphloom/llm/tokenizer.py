@@ -13,11 +13,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import spread
+from graphloom.runtime import Scratch, spread
 
 VOCABULARY = os.environ.get("GRAPHLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-CHUNK = 8192
+CHUNK = 2048
 OVERLAP = 256
+#: Longer texts have their chunks spread over all tasks; those of shorter ones are encoded where the text is read.
+SPREAD_OVER = 8192
 
 # Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -87,6 +89,12 @@ def join_pieces(parts: list[tuple[list[int] | None, str | None]], path: str = VO
     return out
 
 
+def encoded(text: str, path: str = VOCABULARY) -> list[int]:
+    """Ids of one text by its chunks, within a task."""
+    pieces = [piece(*c) for c in chunks(text)]
+    return join_pieces([(encoder(path).encode_ordinary(t), None) if sound else (None, t) for t, sound in pieces], path)
+
+
 _IDS = pa.list_(pa.int32())
 
 
@@ -94,28 +102,34 @@ def _encode(path: str, count_only: bool):
     """Rows (keep, text) to (keep, ids or their number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
         for batch in batches:
-            ids = [enc.encode_ordinary(t) if t else [] for t in batch.column(1).to_pylist()]
+            ids = [encoded(t, path) if t else [] for t in batch.column(1).to_pylist()]
             out = pa.array([len(x) for x in ids], pa.int64()) if count_only else pa.array(ids, _IDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), out], ["keep", "out"])
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rid, text) to chunk rows (rid, k, part, last)."""
-    for batch in batches:
-        for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = list(chunks(text))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "rid": pa.array([rid] * len(rows), pa.int64()),
-                    "k": pa.array([r[0] for r in rows], pa.int32()),
-                    "part": pa.array([r[1] for r in rows], pa.string()),
-                    "last": pa.array([r[2] for r in rows], pa.bool_()),
-                }
-            )
+def _cut():
+    """Rows (rid, keep, text) to chunk rows (rid, k, part, last, keep); ``keep`` goes with the first chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (rid, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                rows = list(chunks(text))
+                first = pa.array([i] + [None] * (len(rows) - 1), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([rid] * len(rows), pa.int64()),
+                        pa.array([r[0] for r in rows], pa.int32()),
+                        pa.array([r[1] for r in rows], pa.string()),
+                        pa.array([r[2] for r in rows], pa.bool_()),
+                        batch.column(1).take(first),
+                    ],
+                    ["rid", "k", "part", "last", "keep"],
+                )
+
+    return run
 
 
 def _encode_pieces(path: str):
@@ -125,26 +139,26 @@ def _encode_pieces(path: str):
         enc = encoder(path)
         for batch in batches:
             ids, raw = [], []
-            for row in batch.to_pylist():
-                text, sound = piece(row["k"], row["part"], row["last"])
+            for k, part, last in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                text, sound = piece(k, part, last)
                 ids.append(enc.encode_ordinary(text) if sound else None)
                 raw.append(None if sound else text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, _IDS), pa.array(raw, pa.string())],
-                ["rid", "k", "ids", "raw"],
+                [batch.column(0), batch.column(1), pa.array(ids, _IDS), pa.array(raw, pa.string()), batch.column(4)],
+                ["rid", "k", "ids", "raw", "keep"],
             )
 
     return run
 
 
 def _join(path: str, count_only: bool):
-    """Rows (rid, pieces) to (rid, ids or their number)."""
+    """Rows (keep, pieces) to (keep, ids or their number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [join_pieces([(p["ids"], p["raw"]) for p in row], path) for row in batch.column(1).to_pylist()]
             out = pa.array([len(x) for x in ids], pa.int64()) if count_only else pa.array(ids, _IDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["rid", "out"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["keep", "out"])
 
     return run
 
@@ -153,26 +167,27 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str = VOC
     """Columns ``keep`` and ids (ARRAY<INT>), or n_tokens with ``count_only``, of every row.
 
     Ids are those of ordinary text: strings of special tokens are not special. Null and empty texts give an empty list
-    (0 tokens). Texts up to CHUNK characters are encoded where they are read. Longer ones are cut into overlapping
-    chunks that are spread over all tasks, pre-tokenised there, stitched at places of resynchronisation, encoded in
-    pieces, and put together: one very long text doesn't hold up its task. Repeated rows each give a row; a table
-    without rows gives none; other columns play no part.
+    (0 tokens). Texts are cut into overlapping chunks, pre-tokenised, stitched at places of resynchronisation, encoded in
+    pieces, and put together: where they are read up to SPREAD_OVER characters, and beyond, so that one very long text
+    doesn't hold up its task, by all tasks. The chunks of these are written first, which fixes the numbers that tell
+    their texts apart, whatever task has to run again. Repeated rows each give a row; a table without rows gives none;
+    other columns play no part.
     """
     name, kind = ("n_tokens", "bigint") if count_only else ("ids", "array<int>")
     kept = F.struct(*keep)
     rows = docs.select(kept.alias("keep"), F.col(text).alias("text"))
-    long = F.coalesce(F.length("text") > CHUNK, F.lit(False))
+    long = F.coalesce(F.length("text") > SPREAD_OVER, F.lit(False))
     keep_type = rows.schema["keep"].dataType.simpleString()
     short = spread(rows.where(~long)).mapInArrow(_encode(path, count_only), f"keep {keep_type}, out {kind}")
-    numbered = rows.where(long).withColumn("rid", F.monotonically_increasing_id())
-    parts = (
-        numbered.select("rid", "text")
-        .mapInArrow(_cut, "rid bigint, k int, part string, last boolean")
+    numbered = rows.where(long).select(F.monotonically_increasing_id().alias("rid"), "keep", "text")
+    cut = numbered.mapInArrow(_cut(), f"rid bigint, k int, part string, last boolean, keep {keep_type}")
+    joined = (
+        Scratch(docs.sparkSession, "chunks").put(cut)
         .repartition("rid", "k")
-        .mapInArrow(_encode_pieces(path), "rid bigint, k int, ids array<int>, raw string")
+        .mapInArrow(_encode_pieces(path), f"rid bigint, k int, ids array<int>, raw string, keep {keep_type}")
         .groupBy("rid")
-        .agg(F.sort_array(F.collect_list(F.struct("k", "ids", "raw"))).alias("pieces"))
-        .mapInArrow(_join(path, count_only), f"rid bigint, out {kind}")
+        .agg(F.first("keep", ignorenulls=True).alias("keep"), F.sort_array(F.collect_list(F.struct("k", "ids", "raw"))).alias("pieces"))  # of one text
+        .select("keep", "pieces")
+        .mapInArrow(_join(path, count_only), f"keep {keep_type}, out {kind}")
     )
-    joined = parts.join(numbered.select("rid", "keep"), "rid").select("keep", "out")
     return short.unionByName(joined).select("keep.*", F.col("out").alias(name))

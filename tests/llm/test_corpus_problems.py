@@ -161,3 +161,50 @@ def test_filters_grow_in_passes(spark, monkeypatch):
     single, maybe = dedup.split(df, 3_000, Scratch(spark, "test"))
     assert single.count() + maybe.count() == 3_000 and single.select("key").distinct().count() == single.count()
     assert 200 <= maybe.count() < 400  # singletons stay out of the shuffle although one filter holds only 820 rows
+
+
+def brute_mix(rows, targets, total):
+    """(id, copies) by plain Python: rows (id, source, x, w, u)."""
+    sizes = Counter()
+    for _, s, x, _, _ in rows:
+        sizes[s] += x
+    need = mixing.plan(dict(sizes), {s: (a, m) for s, a, m in targets}, total)
+    out = {}
+    for s, most in ((s, m) for s, _, m in targets if s in need):
+        own = [r for r in rows if r[1] == s]
+        lo, hi = 0.0, most / min(r[3] for r in own)
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(most, mid * r[3]) * r[2] for r in own) < need[s] else (lo, mid)
+        drawn, left = [], need[s]
+        for i, _, x, w, u in own:
+            e = min(most, hi * w)
+            e = round(e) if abs(e - round(e)) < 1e-9 else e
+            p = e - int(e)
+            out[i] = int(e)
+            left -= int(e) * x
+            if p > 0:
+                drawn.append((u / (1 - u) / (p / (1 - p)), i, x))
+        taken = 0
+        for _, i, x in sorted(drawn):
+            if taken + x / 2 <= left:
+                out[i] += 1
+            taken += x
+    return {i: c for i, c in out.items() if c}
+
+
+@pytest.mark.parametrize("total", [None, 40_000.0, 1e9])
+def test_weighted_mix_matches_brute_force(spark, total):
+    df, targets = docs(spark), spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
+    known = df.where("n_tokens > 0").select("doc_id", "source", "n_tokens", "w", mixing.uniform(7, F.col("doc_id")).alias("u"))
+    rows = [tuple(r) for r in known.collect() if r.source in {"big", "mid", "small"}]
+    want = brute_mix(rows, TARGETS, total)
+    mixed = mixing.mix(df, targets, weight="w", total=total)
+    assert {r.doc_id: r.copies for r in mixed.collect()} == want
+    by = {r[0]: (r[1], r[2]) for r in rows}
+    tokens = Counter()
+    for i, c in want.items():
+        tokens[by[i][0]] += c * by[i][1]
+    got = {r.source: (r.mix_tokens, r.mix_docs, r.most_copies) for r in mixing.shares(mixed, df, targets).collect()}
+    for s in ("big", "mid", "small"):
+        assert got[s] == (tokens[s], sum(by[i][0] == s for i in want), max(c for i, c in want.items() if by[i][0] == s))
