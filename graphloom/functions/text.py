@@ -7,7 +7,7 @@ from collections.abc import Callable
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
@@ -37,6 +37,26 @@ def line_slice(col: Column, start: Column, end: Column) -> Column:
     return F.coalesce(F.array_join(F.slice(lines(col), first, count), "\n"), F.lit(""))
 
 
+def slices(spans: DataFrame, files: DataFrame) -> DataFrame:
+    """``spans`` (file_path, lo, hi and others) of known files with their lines as ``source``.
+
+    The spans of a file are gathered, those of one partition at a time, so that a text is joined once for all of them and
+    split into lines once, not moved and split for each; a file's rows are put apart again behind the join.
+    """
+    rest = [c for c in spans.columns if c not in ("file_path", "lo", "hi")]
+    held = spans.where("file_path is not null").withColumn("__part", F.spark_partition_id())
+    of_file = held.groupBy("file_path", "__part").agg(F.collect_list(F.struct(*rest, "lo", "hi")).alias("__spans"))
+    code = files.select("file_path", F.col("text").alias("__text")).where("__text is not null")
+    cut = of_file.join(code, "file_path").select("file_path", "__spans", lines(F.col("__text")).alias("__lines"))
+
+    def one(span):
+        first = F.greatest(F.coalesce(span["lo"], F.lit(1)), F.lit(1))
+        count = F.greatest(F.coalesce(span["hi"], F.lit(0)) - first + 1, F.lit(0))
+        return F.struct(*(span[c].alias(c) for c in rest), F.array_join(F.slice("__lines", first, count), "\n").alias("source"))
+
+    return cut.select("file_path", F.explode(F.transform("__spans", one)).alias("__s")).select("file_path", "__s.*")
+
+
 def truncate_lines(col: Column, budget: Column) -> Column:
     """As many whole lines from the start as fit the budget of tokens; line ends cost nothing."""
     state = "named_struct('n', cast(0 as int), 'open', true, 'kept', cast(array() as array<string>))"

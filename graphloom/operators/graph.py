@@ -320,20 +320,30 @@ def _greatest(e: DataFrame, start: str, end: str, scratch: Scratch) -> DataFrame
             return state
 
 
-def tree(edges: DataFrame, root: str, depth: int) -> DataFrame:
-    """(parent, child, level, type): a dependency tree in which each node hangs at its first place, by levels and then by
-    the smallest parent."""
-    spark = edges.sparkSession
-    layers = reach(edges, spark.createDataFrame([(root,)], "id string"), depth, include_seeds=True).select("node", "hops")
+def trees(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, parent, child, level, type): a dependency tree of each root (id), in which each node hangs at its first place,
+    by levels and then by the smallest parent."""
+    layers = Scratch(edges.sparkSession, "trees").put(reach(edges, roots, depth, include_seeds=True))
     typed = edges.groupBy("source", "target").agg(F.min("type").alias("type"))
     steps = (
-        typed.join(layers.select(F.col("node").alias("source"), F.col("hops").alias("from")), "source")
-        .join(layers.select(F.col("node").alias("target"), F.col("hops").alias("level")), "target")
+        layers.select("seed", F.col("node").alias("source"), F.col("hops").alias("from"))
+        .join(typed, "source")
+        .join(layers.select("seed", F.col("node").alias("target"), F.col("hops").alias("level")), ["seed", "target"])
         .where(F.col("level") == F.col("from") + 1)
     )
-    return steps.groupBy(F.col("target").alias("child"), "level").agg(
+    return steps.groupBy(F.col("seed").alias("root"), F.col("target").alias("child"), "level").agg(
         F.min("source").alias("parent"), F.min_by("type", "source").alias("type")
-    ).select("parent", "child", "level", "type")
+    ).select("root", "parent", "child", "level", "type")
+
+
+def tree(edges: DataFrame, root: str, depth: int) -> DataFrame:
+    """(parent, child, level, type) of the one tree at ``root``."""
+    return trees(edges, edges.sparkSession.createDataFrame([(root,)], "id string"), depth).drop("root")
+
+
+def clear(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The empty graph of the same columns."""
+    return nodes.limit(0), edges.limit(0)
 
 
 def out_degree(edges: DataFrame) -> DataFrame:

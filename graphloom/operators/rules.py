@@ -132,11 +132,9 @@ def node_sources(nodes: DataFrame, files: DataFrame, window: int) -> DataFrame:
 
     A node without an end reaches ``window`` lines on.
     """
-    code = files.select("file_path", "text").where("text is not null")
     end = F.coalesce("line_end", F.col("line_start") + window)
-    return nodes.join(code, "file_path").select(
-        "id", "type", "file_path", "line_start", T.line_slice(F.col("text"), F.col("line_start"), end).alias("source")
-    )
+    spans = nodes.select("id", "type", "file_path", "line_start", F.col("line_start").alias("lo"), end.alias("hi"))
+    return T.slices(spans, files).select("id", "type", "file_path", "line_start", "source")
 
 
 def reach_rules(nodes: DataFrame, edges: DataFrame, files: DataFrame, reached: DataFrame) -> DataFrame:

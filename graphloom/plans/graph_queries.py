@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import ident, text
 from graphloom.operators import context, graph, reports, rules
 from graphloom.runtime import Scratch, spread, table
-from graphloom.schema import BINARY_EXTENSIONS, GOAL_BOOSTS, IGNORED, LANGUAGES, LAYERS
+from graphloom.schema import BINARY_EXTENSIONS, GOAL_BOOSTS, GOAL_EDGES, IGNORED, LANGUAGES, LAYERS
 from graphloom.sources import index, parse, scan
 from graphloom.streaming import changes
 
@@ -46,9 +46,9 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "parse_results").select("file_path", F.regexp_replace("text", "\r\n?", "\n").alias("text"))
 
 
-def _seed(nodes: DataFrame) -> DataFrame:
-    """The one endpoint a single-endpoint operator is asked for: the first by name."""
-    return graph.registry(nodes).agg(F.min_by("id", "name").alias("id"))
+def _seeds(nodes: DataFrame) -> DataFrame:
+    """All endpoints of the registry."""
+    return graph.registry(nodes).select("id")
 
 
 _N = "n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) rn FROM nodes WHERE id IS NOT NULL) WHERE rn = 1)"
@@ -161,48 +161,71 @@ def neighbors_khop(spark, sf):
     return graph.reach(edges, nodes.where("type = 'endpoint'").select("id"), 4)
 
 
-_BFS = """, s AS (SELECT arg_min(id, name) AS id FROM reg), both_ways AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e),
-b AS (SELECT id AS seed, id AS node, 0 AS hops FROM s UNION SELECT b.seed, y.b, b.hops + 1 FROM b JOIN both_ways y ON y.a = b.node WHERE b.hops < 3),
+def _bfs_sql(goal: str, depth: int = 5, seeds: str = "SELECT id FROM reg") -> str:
+    types = GOAL_EDGES[goal]
+    some = "" if types is None else " WHERE type IN (" + ", ".join(f"'{t}'" for t in types) + ")"
+    return f""", both_ways AS (SELECT source AS a, target AS b FROM e{some} UNION SELECT target, source FROM e{some}),
+b AS (SELECT id AS seed, id AS node, 0 AS hops FROM ({seeds}) UNION SELECT b.seed, y.b, b.hops + 1 FROM b JOIN both_ways y ON y.a = b.node WHERE b.hops < {depth}),
 m AS (SELECT seed, node, min(hops) AS hops FROM b GROUP BY 1, 2)"""
 
 
-@query(_NE + _BFS + " SELECT seed, node, CAST(hops AS INT) AS hops FROM m")
+def _bfs(spark, sf, goal):
+    nodes, edges = _kept(spark, sf)
+    return graph.goal_subgraph(edges, _seeds(nodes), goal)
+
+
+@query(_NE + _bfs_sql("full") + " SELECT seed, node, CAST(hops AS INT) AS hops FROM m")
 def goal_bfs(spark, sf):
+    return _bfs(spark, sf, "full")
+
+
+@query(_NE + _bfs_sql("security") + " SELECT seed, node, CAST(hops AS INT) AS hops FROM m")
+def goal_bfs_security(spark, sf):
+    return _bfs(spark, sf, "security")
+
+
+@query(_NE + _bfs_sql("architecture", seeds="SELECT id FROM n WHERE type IN ('controller', 'service', 'repository')") + " SELECT seed, node, CAST(hops AS INT) AS hops FROM m")
+def goal_bfs_architecture(spark, sf):
+    """Of all controllers, services and repositories, along the edges of the goal."""
     nodes, edges = _kept(spark, sf)
-    return graph.goal_subgraph(edges, _seed(nodes), "full", 3)
+    return graph.goal_subgraph(edges, nodes.where("type in ('controller', 'service', 'repository')").select("id"), "architecture")
 
 
 def _ppr_sql(k: int) -> str:
     parts = [
-        ", inside AS (SELECT e.source, e.target, coalesce(e.weight, 1) AS w FROM e JOIN m a ON a.node = e.source JOIN m b ON b.node = e.target WHERE coalesce(e.weight, 1) > 0)",
-        "walk AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS share FROM inside)",
-        "r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM m) AS score FROM m)",
+        ", inside AS (SELECT a.seed, e.source, e.target, coalesce(e.weight, 1) AS w FROM e JOIN m a ON a.node = e.source JOIN m b ON b.node = e.target AND b.seed = a.seed WHERE coalesce(e.weight, 1) > 0)",
+        "walk AS (SELECT seed, source, target, w / sum(w) OVER (PARTITION BY seed, source) AS share FROM inside)",
+        "ends AS (SELECT m.seed, m.node FROM m WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.seed = m.seed AND w.source = m.node))",
+        "r0 AS (SELECT seed, node, 1.0 / count(*) OVER (PARTITION BY seed) AS score FROM m)",
     ]
     for i in range(1, k + 1):
         p = f"r{i - 1}"
         parts.append(
-            f"r{i} AS (SELECT m.node, coalesce(f.v, 0) + CASE WHEN m.node = m.seed THEN 0.15 + 0.85 * (SELECT coalesce(sum(score), 0) FROM {p} WHERE node NOT IN (SELECT source FROM walk)) ELSE 0 END AS score "
-            f"FROM m LEFT JOIN (SELECT w.target AS node, sum(0.85 * x.score * w.share) AS v FROM walk w JOIN {p} x ON x.node = w.source GROUP BY 1) f ON f.node = m.node)"
+            f"r{i} AS (SELECT m.seed, m.node, coalesce(f.v, 0) + CASE WHEN m.node = m.seed THEN 0.15 + 0.85 * coalesce(d.v, 0) ELSE 0 END AS score FROM m "
+            f"LEFT JOIN (SELECT w.seed, w.target AS node, sum(0.85 * x.score * w.share) AS v FROM walk w JOIN {p} x ON x.node = w.source AND x.seed = w.seed GROUP BY 1, 2) f ON f.node = m.node AND f.seed = m.seed "
+            f"LEFT JOIN (SELECT x.seed, sum(x.score) AS v FROM {p} x JOIN ends USING (seed, node) GROUP BY 1) d ON d.seed = m.seed)"
         )
     return ", ".join(parts)
 
 
-@query(_NE + _BFS + _ppr_sql(6) + " SELECT node, round(score, 8) AS score FROM r6")
-def ppr_fixed_k(spark, sf):
+def _ranked(spark, sf):
     nodes, edges = _kept(spark, sf)
-    members = graph.goal_subgraph(edges, _seed(nodes), "full", 3).select("seed", "node")
-    return graph.pagerank(edges, members, iterations=6, tolerance=None).select("node", F.round("score", 8).alias("score"))
+    members = Scratch(spark, "members").put(graph.goal_subgraph(edges, _seeds(nodes), "full").select("seed", "node"))
+    return nodes, graph.pagerank(edges, members, iterations=6, tolerance=None)
+
+
+@query(_NE + _bfs_sql("full") + _ppr_sql(6) + " SELECT seed, node, round(score, 8) AS score FROM r6")
+def ppr_fixed_k(spark, sf):
+    return _ranked(spark, sf)[1].select("seed", "node", F.round("score", 8).alias("score"))
 
 
 _BOOST = "CASE " + " ".join(f"WHEN n.type = '{t}' THEN {b}" for t, b in GOAL_BOOSTS["security"].items()) + " ELSE 1.0 END"
 
 
-@query(_NE + _BFS + _ppr_sql(6) + f" SELECT r6.node, round(score * {_BOOST}, 8) AS score FROM r6 LEFT JOIN n ON n.id = r6.node")
+@query(_NE + _bfs_sql("full") + _ppr_sql(6) + f" SELECT r6.seed, r6.node, round(score * {_BOOST}, 8) AS score FROM r6 LEFT JOIN n ON n.id = r6.node")
 def boosted_scores(spark, sf):
-    nodes, edges = _kept(spark, sf)
-    members = graph.goal_subgraph(edges, _seed(nodes), "full", 3).select("seed", "node")
-    scores = graph.pagerank(edges, members, iterations=6, tolerance=None)
-    return context.boosted(scores, nodes, "security").select("node", F.round("score", 8).alias("score"))
+    nodes, scores = _ranked(spark, sf)
+    return context.boosted(scores, nodes, "security").select("seed", "node", F.round("score", 8).alias("score"))
 
 
 @query(
@@ -242,35 +265,36 @@ def prune_edges(spark, sf):
 @query(
     f"""WITH RECURSIVE {_N}, {_E}, d AS (SELECT DISTINCT source, target FROM e WHERE type = 'depends_on'),
 p AS (SELECT source AS first, target AS last, [source, target] AS path FROM d WHERE source < target
-  UNION ALL SELECT p.first, d.target, list_append(p.path, d.target) FROM p JOIN d ON d.source = p.last WHERE d.target > p.first AND NOT list_contains(p.path, d.target) AND len(p.path) < 6)
+  UNION ALL SELECT p.first, d.target, list_append(p.path, d.target) FROM p JOIN d ON d.source = p.last WHERE d.target > p.first AND NOT list_contains(p.path, d.target))
 SELECT array_to_string(path, '>') AS cycle FROM p JOIN d ON d.source = p.last AND d.target = p.first
 UNION ALL SELECT source FROM d WHERE source = target"""
 )
 def import_cycles(spark, sf):
     d = _edges(spark, sf).where("type = 'depends_on'")
-    return graph.cycles(d, 6).select(F.array_join("cycle", ">").alias("cycle"))
+    return graph.cycles(d, None).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 @query(
     f"""WITH RECURSIVE {_N}, {_E}, d AS (SELECT DISTINCT source, target FROM e WHERE type = 'belongs_to'),
 p AS (SELECT source AS first, target AS last, [source, target] AS path FROM d WHERE source < target
-  UNION ALL SELECT p.first, d.target, list_append(p.path, d.target) FROM p JOIN d ON d.source = p.last WHERE d.target > p.first AND NOT list_contains(p.path, d.target) AND len(p.path) < 8)
+  UNION ALL SELECT p.first, d.target, list_append(p.path, d.target) FROM p JOIN d ON d.source = p.last WHERE d.target > p.first AND NOT list_contains(p.path, d.target))
 SELECT array_to_string(path, '>') AS cycle FROM p JOIN d ON d.source = p.last AND d.target = p.first
 UNION ALL SELECT source FROM d WHERE source = target"""
 )
 def parent_cycles(spark, sf):
     d = _edges(spark, sf).where("type = 'belongs_to'")
-    return graph.cycles(d, 8).select(F.array_join("cycle", ">").alias("cycle"))
+    return graph.cycles(d, None).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 @query(
-    f"""{_NE}, s AS (SELECT arg_min(id, name) AS id FROM reg), t AS (SELECT id AS node, 0 AS hops FROM s UNION SELECT e.target, t.hops + 1 FROM t JOIN e ON e.source = t.node WHERE t.hops < 5),
-l AS (SELECT node, min(hops) AS hops FROM t GROUP BY 1)
-SELECT min(e.source) AS parent, e.target AS child, CAST(b.hops AS INT) AS level, arg_min(e.type, e.source) AS type FROM e JOIN l a ON a.node = e.source JOIN l b ON b.node = e.target WHERE b.hops = a.hops + 1 GROUP BY 2, 3"""
+    f"""{_NE}, t AS (SELECT id AS root, id AS node, 0 AS hops FROM reg UNION SELECT t.root, e.target, t.hops + 1 FROM t JOIN e ON e.source = t.node WHERE t.hops < 5),
+l AS (SELECT root, node, min(hops) AS hops FROM t GROUP BY 1, 2)
+SELECT a.root, min(e.source) AS parent, e.target AS child, CAST(b.hops AS INT) AS level, arg_min(e.type, e.source) AS type FROM e JOIN l a ON a.node = e.source JOIN l b ON b.node = e.target AND b.root = a.root
+WHERE b.hops = a.hops + 1 GROUP BY a.root, e.target, b.hops"""
 )
 def dependency_tree(spark, sf):
     nodes, edges = _kept(spark, sf)
-    return graph.tree(edges, _seed(nodes).first().id, 5)
+    return graph.trees(edges, _seeds(nodes), 5)
 
 
 # rules
@@ -386,6 +410,49 @@ def god_class_methods(spark, sf):
     return rules.crowded(_nodes(spark, sf), 1).select("class_name", "methods")
 
 
+_TRADE = """supply AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)"""
+
+
+def _trade(spark, sf):
+    """A graph that meets the limits of the rules: suppliers as controllers of the parts they supply, which are their methods
+    and repositories; spans are account balances; nations form rings."""
+    supply = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    suppliers = table(spark, sf, "supplier")
+    names = suppliers.select(F.col("s_suppkey").alias("s"), "s_name")
+    null, no_map, one = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>"), F.lit(1)
+    make = lambda df, i, kind, name, end, symbol=null: df.select(
+        i.alias("id"), F.lit(kind).alias("type"), name.alias("qualified_name"), F.lit("trade").alias("file_path"), one.alias("line_start"), end.cast("int").alias("line_end"),
+        null.alias("provenance"), symbol.alias("kind"), null.alias("http_method"), null.alias("http_path"), no_map.alias("metadata"), F.lit(1).cast("long").alias("seq"),
+    )
+    of = lambda kind, c: F.concat(F.lit(kind), c)
+    nation = table(spark, sf, "nation")
+    nodes = [
+        make(suppliers, of("s", F.col("s_suppkey")), "controller", F.col("s_name"), 1 + F.floor(F.abs("s_acctbal"))),
+        make(supply.join(names, "s"), F.concat_ws("m", "s", "p"), "function", F.concat_ws(".", "s_name", "p"), one, F.lit("method")),
+        make(table(spark, sf, "part"), of("p", F.col("p_partkey")), "repository", F.col("p_name"), one),
+        make(nation, of("n", F.col("n_nationkey")), "file", F.format_string("%02d", "n_nationkey"), one),
+    ]
+    edge = lambda df, a, b, kind: df.select(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"), F.lit(1.0).alias("weight"), null.alias("provenance"), no_map.alias("metadata"), F.lit(1).cast("long").alias("seq"))
+    k = F.col("n_nationkey")
+    ring = F.when(k < 9, (k + 1) % 9).otherwise(9 + (k - 8) % 16)
+    edges = [edge(supply, of("s", F.col("s")), of("p", F.col("p")), "calls"), edge(nation, of("n", k), of("n", ring), "depends_on")]
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
+
+
+@query(
+    f"""WITH {_TRADE}, x AS (SELECT generate_series AS k FROM generate_series(0, 24))
+SELECT 'R11' AS rule, 'Controller ' || s_name || ' calls Repository ' || p_name || ' past a layer.' AS description FROM supply JOIN supplier ON s_suppkey = s JOIN part ON p_partkey = p
+UNION ALL SELECT 'R12', string_agg(printf('%02d', k), ' → ' ORDER BY k) || ' → ' || printf('%02d', min(k)) FROM x GROUP BY k < 9
+UNION ALL SELECT 'R13', 'Controller ' || s_name || ' has ' || count(*) || ' outbound edges.' FROM supply JOIN supplier ON s_suppkey = s GROUP BY s, s_name HAVING count(*) > 10
+UNION ALL SELECT 'R14', 'Class ' || s_name || ' has ' || CAST(floor(abs(s_acctbal)) AS INT) || ' lines.' FROM supplier WHERE floor(abs(s_acctbal)) > 500
+UNION ALL SELECT 'R15', 'Class ' || s_name || ' has ' || count(*) || ' methods.' FROM supply JOIN supplier ON s_suppkey = s GROUP BY s_name HAVING count(*) > 15"""
+)
+def architecture_limits(spark, sf):
+    """R11 to R15 at their own limits, with rings of nine and sixteen files."""
+    scratch = Scratch(spark, "trade")
+    return rules.architecture_rules(*map(scratch.put, _trade(spark, sf))).select("rule", "description")
+
+
 @query()
 def architecture_findings(spark, sf):
     return rules.architecture_rules(*_kept(spark, sf))
@@ -407,6 +474,8 @@ def endpoint_not_found(spark, sf):
 
 # source text
 
+_CALLS = r"(?:this\.)?(\w+)\.(\w+)\s*\("
+
 
 @query(f"WITH {_N}{_SOURCES} SELECT id, source FROM src")
 def line_slice(spark, sf):
@@ -425,7 +494,14 @@ def normalize_whitespace(spark, sf):
     return table(spark, sf, "symbols").select("symbol_id", text.normalize_whitespace(F.col("source_code")).alias("source_code")).distinct()
 
 
-@query()
+_TAIL = r"""^((?:"(?:\\.|[^"\\])*(?:"|$)|''(?:\\.|[^''\\])*(?:''|$)|`(?:\\.|[^`\\])*(?:`|$)|\\.|[^"''`\\])*?)//"""
+
+
+@query(
+    rf"""WITH s AS (SELECT DISTINCT symbol_id, source_code FROM symbols),
+l AS (SELECT symbol_id, source_code, list_filter(string_split(regexp_replace(source_code, '/\*[^*](?s:.*?)\*/', '', 'g'), E'\n'), lambda x: NOT regexp_matches(x, '^\s*(?://(?:[^/]|$)|#(?:[^!]|$))')) AS ls FROM s)
+SELECT symbol_id, array_to_string(list_transform(ls, lambda x: CASE WHEN regexp_matches(x, '{_TAIL}') THEN rtrim(regexp_extract(x, '{_TAIL}', 1)) ELSE x END), E'\n') AS source_code FROM l"""
+)
 def strip_comments(spark, sf):
     return table(spark, sf, "symbols").select("symbol_id", text.strip_comments(F.col("source_code")).alias("source_code")).distinct()
 
@@ -447,7 +523,6 @@ def compressed_sources(spark, sf):
     return rows.select("file_path", before.alias("tokens_before"), after.alias("tokens_after"), "short")
 
 
-_CALLS = r"(?:this\.)?(\w+)\.(\w+)\s*\("
 
 
 @query(
@@ -492,6 +567,63 @@ def resolved_imports(spark, sf):
     return scan.resolve_imports(found, files)
 
 
+_IMPORTED = r"""i AS (SELECT DISTINCT file_path, kind, CASE kind WHEN 0 THEN './' || regexp_replace(regexp_extract(file_path, '[^/]*$'), '\.[^.]*$', '') WHEN 1 THEN '../' || regexp_extract(file_path, '([^/]*)/[^/]*$', 1) || '/./' || regexp_replace(regexp_extract(file_path, '[^/]*$'), '\.[^.]*$', '') ELSE '@/' || regexp_replace(file_path, '\.[^.]*$', '') END AS module
+  FROM parse_results, (SELECT unnest([0, 1, 2]) AS kind) WHERE contains(file_path, '/'))"""
+
+
+@query(
+    f"""WITH {_IMPORTED}, t AS (SELECT file_path, module, s.rank, regexp_replace(file_path, '\\.[^./]*$', '') || s.suffix AS path FROM i, (SELECT unnest(range(7)) AS rank, unnest(['', '.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.js']) AS suffix) s)
+SELECT file_path, module, arg_min(path, rank) AS resolved FROM t WHERE path IN (SELECT file_path FROM parse_results) GROUP BY 1, 2"""
+)
+def import_resolution(spark, sf):
+    """Each file's own name, written as imports from its folder, from the folder above and by an alias."""
+    p = F.col("file_path")
+    base = F.regexp_replace(F.regexp_extract(p, "[^/]*$", 0), r"\.[^.]*$", "")
+    ways = [F.concat(F.lit("./"), base), F.concat(F.lit("../"), F.regexp_extract(p, "([^/]*)/[^/]*$", 1), F.lit("/./"), base), F.concat(F.lit("@/"), F.regexp_replace(p, r"\.[^.]*$", ""))]
+    files = table(spark, sf, "parse_results").select("file_path", p.alias("path"))
+    imports = files.where(p.contains("/")).select("file_path", F.explode(F.array(*ways)).alias("module")).distinct()
+    return scan.resolve_imports(imports, files, {"@": ""})
+
+
+_ROLE = _role_sql().split("CASE ", 1)[1].split(" END AS role", 1)[0]
+_TABLED = f"""s AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY symbol_id) AS place FROM (SELECT DISTINCT symbol_id, file_path, name, qualified_name, kind, line_start, line_end, decorators, source_code FROM symbols WHERE file_path IS NOT NULL AND qualified_name IS NOT NULL AND kind IS NOT NULL)),
+f AS (SELECT DISTINCT file_path FROM s), fid AS (SELECT file_path, substr(sha256('file:' || file_path || ':' || file_path), 1, 16) AS file_id FROM f),
+w AS (SELECT *, substr(sha256(kind || ':' || qualified_name || ':' || file_path), 1, 16) AS id, lower(array_to_string(coalesce(decorators, []), ' ')) AS d FROM s)"""
+
+
+def _tabled(spark, sf):
+    """The symbols table in the form the parsers give: a row for each file."""
+    s = table(spark, sf, "symbols").where("file_path is not null and qualified_name is not null and kind is not null")
+    s = s.select("symbol_id", "file_path", "name", "qualified_name", "kind", "line_start", "line_end", "decorators", "source_code").distinct()
+    own = F.struct(
+        "symbol_id", "name", "qualified_name", "kind", "file_path", "line_start", "line_end", "decorators", F.array().cast("array<string>").alias("parameters"),
+        F.lit(None).cast("string").alias("parent"), F.coalesce(text.call_sites(F.col("source_code")), F.array().cast("array<string>")).alias("calls"),
+    )
+    empty = {"imports": parse.IMPORT, "exports": parse.EXPORT, "errors": parse.PARSE_ERROR, "routes": parse.ROUTE}
+    rows = s.groupBy(F.col("file_path").alias("path")).agg(F.array_sort(F.collect_list(own)).alias("symbols"))  # of one file
+    return rows.select("path", "symbols", *(F.array().cast(f"array<{t}>").alias(c) for c, t in empty.items()))
+
+
+@query(
+    f"""WITH {_TABLED} SELECT id, type, qualified_name, line_start FROM (SELECT id, CASE {_ROLE} END AS type, qualified_name, line_start, row_number() OVER (PARTITION BY id ORDER BY place DESC) AS rn FROM w) WHERE rn = 1
+UNION ALL SELECT file_id, 'file', file_path, 1 FROM fid"""
+)
+def built_nodes(spark, sf):
+    """The index's own builder over the symbols table."""
+    done = _tabled(spark, sf)
+    return index.build(done, done)[0].select("id", "type", "qualified_name", "line_start")
+
+
+@query(
+    f"""WITH {_TABLED}, c AS (SELECT DISTINCT id AS source, substr(sha256('method:' || callee || ':' || file_path), 1, 16) AS target, 'calls' AS type FROM (
+  SELECT id, file_path, unnest(list_transform(list_zip(regexp_extract_all(source_code, '{_CALLS}', 1), regexp_extract_all(source_code, '{_CALLS}', 2)), lambda p: p[1] || '.' || p[2])) AS callee FROM w WHERE kind IN ('method', 'function')))
+SELECT * FROM c UNION SELECT id, file_id, 'belongs_to' FROM w JOIN fid USING (file_path)"""
+)
+def built_edges(spark, sf):
+    done = _tabled(spark, sf)
+    return index.build(done, done)[1].select("source", "target", "type")
+
+
 @query()
 def indexed_nodes(spark, sf):
     files, done = _parsed(spark, sf)
@@ -517,6 +649,34 @@ def context_snippets(spark, sf):
     return context.select_snippets(scores, nodes, _files(spark, sf), 4000)
 
 
+_CHOSEN = "c AS (SELECT DISTINCT file_path AS seed, snippet_id, node_id, node_type, qualified_name, file_path, line_start, line_end, source_code, relevance_score, token_count FROM snippets WHERE file_path IS NOT NULL)"
+
+
+def _chosen(spark, sf):
+    return table(spark, sf, "snippets").where("file_path is not null").withColumn("seed", F.col("file_path")).distinct()
+
+
+@query(
+    f"""WITH {_CHOSEN}, m AS (SELECT seed, count(*) AS total_nodes FROM (SELECT DISTINCT file_path AS seed, qualified_name FROM symbols WHERE file_path IS NOT NULL) GROUP BY 1),
+k AS (SELECT seed, count(*) AS n, sum(token_count) AS tokens, sum(octet_length(encode(source_code))) AS bytes FROM c GROUP BY 1)
+SELECT m.seed, m.total_nodes, coalesce(k.n, 0) AS selected_nodes, CAST(coalesce(k.tokens, 0) AS BIGINT) AS tokens, CAST(coalesce(k.bytes, 0) AS BIGINT) AS bytes, 1 - coalesce(k.n, 0) / m.total_nodes AS compression_ratio FROM m LEFT JOIN k USING (seed)"""
+)
+def context_summary(spark, sf):
+    """Of the snippets of each file against its symbols."""
+    members = table(spark, sf, "symbols").where("file_path is not null").select(F.col("file_path").alias("seed"), F.col("qualified_name").alias("node")).distinct()
+    return context.summary(_chosen(spark, sf), members)
+
+
+@query(
+    f"""WITH {_CHOSEN} SELECT seed, string_agg('// === ' || qualified_name || ' (' || coalesce(node_type, 'null') || ') - ' || file_path || ':' || line_start || '-' || line_end || E' ===\n' || source_code || E'\n', E'\n' ORDER BY relevance_score DESC, node_id, snippet_id) AS text
+FROM c WHERE source_code IS NOT NULL AND relevance_score IS NOT NULL GROUP BY 1"""
+)
+def rendered_context(spark, sf):
+    rows = _chosen(spark, sf).where("source_code is not null and relevance_score is not null")
+    order = F.concat_ws(" ", "node_id", F.format_string("%020d", "snippet_id"))
+    return context.rendered(rows.withColumn("node_id", order))
+
+
 @query(
     "SELECT model, sum(context_size_bytes) AS before_bytes, sum(compressed_size_bytes) AS after_bytes, round(CASE WHEN sum(context_size_bytes) > 0 THEN 1 - sum(compressed_size_bytes) / sum(context_size_bytes) ELSE 0 END, 9) AS ratio, sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens FROM (SELECT DISTINCT * FROM token_usage_log) GROUP BY 1"
 )
@@ -579,8 +739,9 @@ def endpoint_reports(spark, sf):
 
 @query("SELECT language, arg_max(name, (framework_confidence, name)) AS name, max(framework_confidence) AS confidence FROM projects WHERE framework_confidence > 0.5 GROUP BY 1")
 def plugin_arbitration(spark, sf):
-    p = table(spark, sf, "projects").where("framework_confidence > 0.5")
-    return p.groupBy("language").agg(F.max_by("name", F.struct("framework_confidence", "name")).alias("name"), F.max("framework_confidence").alias("confidence"))
+    order = F.row_number().over(Window.orderBy(F.col("name").desc()))  # few projects
+    p = table(spark, sf, "projects").select("language", "name", F.col("framework_confidence").alias("confidence"), order.alias("order"))
+    return scan.arbitrate(p, "language").select("language", "name", "confidence")
 
 
 # changes and events
@@ -646,6 +807,12 @@ def index_stats(spark, sf):
     return table(spark, sf, "file_index").distinct().groupBy("language").agg(F.count("*").alias("files"), F.sum("symbols_count").alias("symbols"), F.sum("imports_count").alias("imports"))
 
 
+@query(f"WITH {_N}, {_E} SELECT (SELECT count(*) FROM (SELECT DISTINCT file_path FROM file_index)) AS files, (SELECT count(*) FROM (SELECT DISTINCT id FROM endpoints)) AS endpoints, (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges")
+def index_totals(spark, sf):
+    files, eps = table(spark, sf, "file_index").select("file_path").distinct(), table(spark, sf, "endpoints").select("id").distinct()
+    return index.stats(files, {"endpoints": eps, "nodes": _nodes(spark, sf), "edges": _edges(spark, sf)})
+
+
 def all_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of all engines over the graph tables, ranked."""
     nodes, edges = _kept(spark, sf)

@@ -27,7 +27,7 @@ def _node(rows: DataFrame, kind: Column, node_type: Column, name: Column, path:
         (null if method is None else method).alias("http_method"),
         (null if route is None else route).alias("http_path"),
         (F.lit(None).cast("map<string,string>") if metadata is None else metadata).alias("metadata"),
-        (F.lit(stage * 1_000_000) + at).cast("long").alias("seq"),
+        _seq(stage, at).alias("seq"),
     )
 
 
@@ -39,10 +39,19 @@ def _edge(rows: DataFrame, source: Column, target: Column, kind: str, path: Colu
         F.lit(1.0).alias("weight"),
         path.alias("provenance"),
         (F.lit(None).cast("map<string,string>") if metadata is None else metadata).alias("metadata"),
-        (F.lit(stage * 1_000_000) + at).cast("long").alias("seq"),
+        _seq(stage, at).alias("seq"),
     )
 
 
+def _seq(stage: int, at: Column) -> Column:
+    return F.lit(stage << 56) + at.cast("long")
+
+
+def _place(at: str, within: Column) -> Column:
+    """One order of a file's entries and of what is within each: there can be 2 ** 28 of both, more than a file has."""
+    return F.shiftleft(F.col(at).cast("long"), 28) + within
+
+
 def endpoints(parsed: DataFrame) -> DataFrame:
     """All declared routes; equal ones of different files stay apart, repeated declarations too."""
     r = parsed.select("path", F.posexplode("routes").alias("at", "r")).where("r.kind = 'route'")
@@ -80,12 +89,12 @@ def build(parsed: DataFrame, files: DataFrame, prefixes: dict[str, str] | None =
     bodies = syms.where("s.kind in ('method', 'function')")
     calls = bodies.select("path", "at", "s", F.posexplode("s.calls").alias("k", "callee"))
     edges.append(
-        _edge(calls, sid, node_id(lit("method"), F.col("callee"), p), "calls", p, 3, F.col("at") * 1000 + F.least("k", lit(999)),
+        _edge(calls, sid, node_id(lit("method"), F.col("callee"), p), "calls", p, 3, _place("at", F.col("k")),
               F.create_map(lit("caller"), F.col("s.qualified_name"), lit("callee"), F.col("callee")))
     )
     with_routes = parsed if intended else parsed.where(F.exists("routes", lambda r: r["kind"] == "route"))
     r = with_routes.select("path", F.posexplode("routes").alias("at", "r"))
-    start, end, at = F.col("r.line_start"), F.col("r.line_end"), F.col("at") * 100
+    start, end, at = F.col("r.line_start"), F.col("r.line_end"), _place("at", lit(0))
     route = r.where("r.kind = 'route'")
     name = endpoint_name(F.col("r.method"), F.col("r.path"))
     eid, hid = node_id(lit("endpoint"), name, p), node_id(lit("function"), F.col("r.handler"), p)
