@@ -8,6 +8,8 @@ events change nothing.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,16 +88,32 @@ def run_events(log: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def essential(events: DataFrame) -> DataFrame:
+    """The events that decide the state of each item, three at most: its last done one, the last lease, the last ending.
+    Folding them gives what folding all gives, together with any later or repeated event."""
+    last = lambda cond: F.max_by(F.struct(*events.columns), F.when(cond, F.struct("token", "seq", "version")))
+    kind = F.col("event")
+    picked = events.groupBy("item").agg(
+        F.array_compact(F.array(last(kind == "done"), last(kind == "leased"), last(kind.isin("done", "expired")))).alias("e")
+    )
+    return picked.select(F.explode(F.array_distinct("e")).alias("e")).select("e.*").select(*events.columns)
+
+
 class Ledger:
     """A ledger kept as Parquet below ``path``, one folder for each token and kind of event.
 
-    A folder's name is determined by the token, so a retried write replaces its own earlier attempt and nothing else.
-    One coordinator hands out tokens; workers only write under the token they were given.
+    A token is claimed by creating its file, which only one of several coordinators can do. A folder's name is
+    determined by the token, so a retried write replaces its own earlier attempt and nothing else. ``compact`` keeps the
+    history that each run reads as small as the number of items.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _place(self, name: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def events(self) -> DataFrame:
         try:
             return self.spark.read.schema(EVENTS).option("recursiveFileLookup", True).parquet(self.path)
@@ -112,7 +130,47 @@ class Ledger:
         out.write.mode("overwrite").parquet(f"{self.path}/{event}-{token:012d}")
 
     def next_token(self) -> int:
-        return (self.events().agg(F.max("token")).first()[0] or 0) + 1
+        """A token greater than all before, claimed for this caller alone."""
+        place, fs = self._place("_tokens")
+        claimed = [int(s.getPath().getName()) for s in fs.listStatus(place)] if fs.exists(place) else []
+        token = max(claimed, default=0) + 1
+        fs.mkdirs(place)
+        while not self._claim(fs, f"_tokens/{token:012d}"):
+            token += 1
+        return token
+
+    def _claim(self, fs, name: str) -> bool:
+        """Create a file unless it is there; for local folders by the system's own exclusive open."""
+        place, _ = self._place(name)
+        uri = fs.makeQualified(place).toUri()
+        try:
+            if uri.getScheme() == "file":
+                os.close(os.open(uri.getPath(), os.O_CREAT | os.O_EXCL))
+            else:
+                fs.create(place, False).close()
+        except FileExistsError:
+            return False
+        except Exception as e:  # noqa: BLE001
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
+    def compact(self) -> None:
+        """Write the essential events to one folder, then remove the folders they came from, but for leases that are still
+        read by their token. A run that is broken off in between leaves events twice, which changes nothing. Runs beside
+        others: what they write meanwhile is in folders that are not touched."""
+        place, fs = self._place("")
+        names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+        held = [n for n in names if not n.startswith("_")]
+        if not held:
+            return
+        rows = self.spark.read.schema(EVENTS).parquet(*(f"{self.path}/{n}" for n in held))
+        open_tokens = {r.token for r in fold(rows).where("state = 'leased'").join(rows.where("event = 'leased'").select("item", F.col("token").alias("by")), "item").select(F.col("by").alias("token")).distinct().collect()}
+        essential(rows).write.mode("overwrite").parquet(f"{self.path}/state-{self.next_token():012d}")
+        for n in held:
+            if not (n.startswith("leased-") and int(n.split("-")[1]) in open_tokens):
+                fs.delete(self._place(n)[0], True)
 
     def lease(self, current: DataFrame, now: int, ttl: int) -> tuple[int, DataFrame]:
         """Take up all pending items: their token and rows (item, version)."""

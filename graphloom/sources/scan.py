@@ -5,11 +5,17 @@ from __future__ import annotations
 import fnmatch
 import json
 import re
+from collections.abc import Iterator
+from functools import reduce
+from pathlib import Path
 
+import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.ident import content_hash, extension, language, relative_path
+from graphloom.functions.ident import content_hash, extension, language
+from graphloom.runtime import Scratch
 from graphloom.schema import BINARY_EXTENSIONS, IGNORED
 
 
@@ -27,59 +33,82 @@ def included(path: Column, ignored: list[str] = IGNORED) -> Column:
     return ~extension(path).isin(BINARY_EXTENSIONS) & ~F.exists(parts, lambda p: part_ignored(p) | part_hidden(p))
 
 
-def scan(spark: SparkSession, root: str, known_only: bool = True, ignored: list[str] = IGNORED) -> DataFrame:
-    """(path, language, content_hash, text) of the files below ``root`` that are included; with ``known_only`` those of a
-    known language. Bytes that are no UTF-8 become replacement characters. The order of files is that of their paths."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    overlooked = _overlooked(spark, root)
-    if overlooked:
-        files = files.unionByName(_read(spark, overlooked))
-    plain = re.sub(r"^file:/*", "/", root)
-    path = relative_path(F.regexp_replace("path", r"^file:/+", "/"), plain)
-    rows = files.select(path.alias("path"), "content").where(included(F.col("path"), ignored))
-    rows = rows.withColumn("language", language(F.col("path")))
-    if known_only:
-        rows = rows.where("language is not null")
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n")
-    return rows.select("path", "language", content_hash(F.col("content")).alias("content_hash"), text.alias("text"))
+#: Folders a task lists one after the other before it hands the rest back to be spread again.
+FOLDERS_A_TASK = 2_000
+
+
+def listing(spark: SparkSession, root: str, ignored: list[str] = IGNORED) -> DataFrame:
+    """(path, uri) of the included files below ``root``, found by tasks that each walk some folders; ignored folders are not
+    entered. What a task does not finish is spread over all tasks in the next round, so large trees take a few rounds."""
+    scratch = Scratch(spark, "listing")
+    top = root.rstrip("/") if re.match(r"[A-Za-z][\w+.-]+:", root) else str(Path(root).resolve())
+    walk = _walker(FOLDERS_A_TASK, ignored)
+    todo = spark.createDataFrame([(_uri(top), "")], "uri string, path string")
+    found = []
+    while True:
+        rows = scratch.put(todo.mapInPandas(walk, "path string, uri string, folder boolean"))
+        own = rows.where(included(F.col("path"), ignored) | (F.col("folder") & included(F.concat("path", F.lit("/x")), ignored)))
+        found.append(own.where("not folder").select("path", "uri"))
+        rest = own.where("folder")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        todo = rest.select("uri", "path").repartition(spark.sparkContext.defaultParallelism * 4)
+
 
+def _uri(path: str) -> str:
+    return re.sub("^file:/+", "/", path)  # plain paths need no quoting
 
-def _overlooked(spark: SparkSession, root: str) -> list[str]:
-    """Files that Spark's listing passes over because a part of their path begins with a dot or an underscore. There are
-    few in a source tree once the ignored folders are taken away."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    skipped = re.compile("|".join(fnmatch.translate(p) for p in IGNORED))
-    out, todo = [], [(path, False)]
-    while todo:
-        folder, inside = todo.pop()
-        for status in fs.listStatus(folder):
-            name = status.getPath().getName()
-            hidden = inside or name[0] in "._"
-            if skipped.match(name):
-                continue
-            if status.isDirectory():
-                todo.append((status.getPath(), hidden))
-            elif hidden:
-                out.append(status.getPath().toString())
-    return sorted(out)
-
-
-def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    def run(batches):
-        from pyarrow import fs
 
+def _walker(most: int, ignored: list[str]):
+    skipped = re.compile("|".join(fnmatch.translate(p) for p in ignored) or "(?!)")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            content = []
-            for p in pdf.path:
-                system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", p))
+            todo, out, done = list(zip(pdf.uri, pdf.path, strict=True)), [], 0
+            while todo and done < most:
+                uri, path = todo.pop()
+                done += 1
+                system, folder = FileSystem.from_uri(uri)
+                scheme = uri[: len(uri) - len(folder)] if uri.endswith(folder) else ""
+                for info in system.get_file_info(FileSelector(folder, allow_not_found=True)):
+                    below = f"{path}/{info.base_name}" if path else info.base_name
+                    if info.type == FileType.Directory:
+                        if not skipped.match(info.base_name):
+                            todo.append((scheme + info.path, below))
+                    elif info.type == FileType.File:
+                        out.append((below, scheme + info.path, False))
+            out += [(path, uri, True) for uri, path in todo]
+            yield pd.DataFrame(out, columns=["path", "uri", "folder"])
+
+    return run
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        content = []
+        for uri in pdf.uri:
+            system, place = FileSystem.from_uri(uri)
+            try:
                 with system.open_input_stream(place) as f:
                     content.append(f.read())
-            yield pdf.assign(content=content)
+            except OSError:  # gone since it was listed
+                content.append(None)
+        yield pdf.assign(content=content)[["path", "content"]]
+
+
+def scan(spark: SparkSession, root: str, known_only: bool = True, ignored: list[str] = IGNORED) -> DataFrame:
+    """(path, language, content_hash, text) of the files below ``root`` that are included; with ``known_only`` those of a
+    known language. Bytes that are no UTF-8 become replacement characters. The order of files is that of their paths.
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.mapInPandas(run, "path string, content binary")
+    Files are listed and filtered by path first; only what is left is read, by tasks.
+    """
+    rows = listing(spark, root, ignored)
+    if known_only:
+        rows = rows.where(language(F.col("path")).isNotNull())
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(_read, "path string, content binary").where("content is not null")
+    rows = rows.withColumn("language", language(F.col("path")))
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n")
+    return rows.select("path", "language", content_hash(F.col("content")).alias("content_hash"), text.alias("text"))
 
 
 def manifest(files: DataFrame, name: str = "package.json") -> DataFrame:

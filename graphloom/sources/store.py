@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import latest
 from graphloom.schema import EDGES, NODES
 
 #: Tables of the relational store and their columns.
@@ -21,7 +22,8 @@ TABLES = {
 
 
 class Store:
-    """Parquet tables below one folder: append for logs, overwrite for the rest, upsert by key as a new version."""
+    """Parquet tables below one folder: append for logs, overwrite for the rest, upsert by key as a new version that takes the
+    place of the old one when it is complete."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -39,6 +41,28 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
+        """Rows replace those of the same keys, and are added where there are none; of several new ones the greatest stands.
+
+        Null keys are left out of ``rows``. A writer that fails leaves the table as it was.
+        """
+        new = latest(rows.dropna(subset=keys), keys, F.lit(0))
+        old = self.read(name).join(new.select(*keys), keys, "left_anti").select(*rows.columns)
+        self._replace(name, old.unionByName(new))
+
+    def delete(self, name: str, rows: DataFrame, keys: list[str]) -> None:
+        self._replace(name, self.read(name).join(rows.select(*keys).distinct(), keys, "left_anti"))
+
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        table, fresh, former = (path(f"{self.path}/{p}{name}") for p in ("", "_fresh_", "_former_"))
+        rows.write.mode("overwrite").parquet(fresh.toString())
+        fs.delete(former, True)
+        fs.rename(table, former)
+        fs.rename(fresh, table)
+        fs.delete(former, True)
+
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """The native form: a Parquet table each."""

@@ -170,3 +170,36 @@ def test_key_filter_grows_with_the_keys(spark, monkeypatch):
     assert got.count() == 20_000 and got.where("id < 5000 and not maybe").count() == 0
     assert got.where("id >= 5000 and maybe").count() < 300
     assert bloom.KeyFilter(keys.limit(0), hashed, 0).marked(rows, hashed, "maybe").where("maybe").count() == 0
+
+
+def test_tokens_are_claimed_once_and_compaction_keeps_states(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    one, two = (L.Ledger(spark, (tmp_path / "ledger").as_uri()) for _ in range(2))
+    with ThreadPoolExecutor(8) as pool:
+        tokens = list(pool.map(lambda i: (one, two)[i % 2].next_token(), range(24)))
+    assert len(set(tokens)) == 24
+    cur = lambda *v: spark.createDataFrame([(f"i{n}", x) for n, x in enumerate(v)], "item string, version string")
+    for n, versions in enumerate([("a", "b"), ("a2", "b"), ("a2", "b2", "c")]):
+        token, _ = one.lease(cur(*versions), now=n, ttl=10)
+        one.commit(token)
+    open_token, rows = two.lease(cur("a3", "b3", "c"), now=5, ttl=10)
+    assert rows.count() == 2
+    state = lambda book, now: sorted(map(tuple, L.fold(book.events(), F.lit(now)).collect()))
+    before = [state(one, 6), state(one, 20)]
+    one.compact()
+    assert [state(two, 6), state(two, 20)] == before and one.events().count() <= 9
+    two.commit(open_token)
+    assert {r.item: r.version for r in L.fold(one.events(), F.lit(6)).collect()} == {"i0": "a3", "i1": "b3", "i2": "c"}
+    one.compact()
+    assert {r.item: r.version for r in L.fold(one.events(), F.lit(6)).collect()} == {"i0": "a3", "i1": "b3", "i2": "c"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_essential_events_fold_to_the_same_states(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"i{rng.randrange(6)}", rng.randrange(5), rng.choice(["done", "leased", "expired"]), rng.choice(["v", "w", None]), rng.choice([5, 50, None]), rng.randrange(3)) for _ in range(60)]
+    df = spark.createDataFrame(rows, EVENTS)
+    late = spark.createDataFrame(rows[:10] + [("i1", 9, "done", "z", None, 0)], EVENTS)
+    fold = lambda e: sorted(map(str, L.fold(e, F.lit(20)).collect()))
+    assert fold(df) == fold(L.essential(df)) and fold(df.unionByName(late)) == fold(L.essential(df).unionByName(late))

@@ -202,3 +202,48 @@ def test_endpoints_table_to_graph(spark):
     df = spark.createDataFrame([("GET", "/", "h", "f", 1, 2, ["a", "b"], "x"), ("GET", "/", "h", "f", 1, 2, None, "x"), ("GET", None, "h", "f", 1, 2, None, "y"), ("PUT", "/", None, "f", None, None, [], "z")], cols)
     nodes, edges = index.graph_of_endpoints(df)
     assert nodes.count() == 5 and edges.where(F.col("type") == "secured_by").count() == 2 and edges.count() == 3
+
+
+def test_listing_in_small_steps(spark, tmp_path, monkeypatch):
+    from graphloom.sources import scan as S
+
+    monkeypatch.setattr(S, "FOLDERS_A_TASK", 1)
+    want = set()
+    for p in ("a.ts", "src/b.ts", "src/x/y/c.js", "_under/d.py", ".env", "src/.github/e.ts", "node_modules/m/f.ts", "dist/g.ts", "src/node_modules/h.ts", "img/i.png"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x = 1")
+    got = {r.path for r in S.listing(spark, str(tmp_path)).collect()}
+    assert {"a.ts", "src/b.ts", "src/x/y/c.js", "_under/d.py", ".env"} <= got and not {p for p in got if "node_modules" in p or "dist" in p or p.endswith("png")}
+    assert {r.path for r in S.scan(spark, str(tmp_path)).collect()} == {p for p in got if p.endswith((".ts", ".js", ".py"))}
+    assert S.listing(spark, str(tmp_path / "none")).count() == 0 and not want
+
+
+def test_more_calls_than_a_thousand(spark):
+    from graphloom.sources import index, parse
+
+    body = "class A {\n" + "".join(f"  m{i}() {{ a{i}.b{i}(); }}\n" for i in range(1_200)) + "  many() {\n" + "".join(f"    c{i}.d();\n" for i in range(1_100)) + "  }\n}\n"
+    files = spark.createDataFrame([("a.ts", "typescript", body)], "path string, language string, text string")
+    nodes, edges = index.build(parse.parsed(files), files)
+    assert edges.where("type = 'calls'").count() == 2_300 and edges.where("type = 'belongs_to'").count() == nodes.where("type <> 'file'").count() == 1_202
+    assert edges.select("seq").distinct().count() > 2_300
+
+
+def test_upserts(spark, tmp_path):
+    from graphloom.sources.store import Store
+
+    store = Store(spark, tmp_path.as_uri())
+    store.create()
+    row = lambda i, name: (i, name) + (None,) * 9
+    make = lambda *rows: spark.createDataFrame(rows, store.read("projects").schema)
+    store.upsert("projects", make(row("1", "a"), row("2", "b"), row(None, "z")), ["id"])
+    store.upsert("projects", make(row("2", "c"), row("3", "d"), row("3", "e")), ["id"])
+    assert {(r.id, r.name) for r in store.read("projects").collect()} == {("1", "a"), ("2", "c"), ("3", "e")}
+    store.delete("projects", make(row("1", "")), ["id"])
+    assert {r.id for r in store.read("projects").collect()} == {"2", "3"}
+
+
+def test_arrow_functions_are_named_by_a_bare_parameter():
+    from graphloom.sources import parse
+
+    names = [s["name"] for s in parse.parse("const f = x => x + 1;\nconst g = (a, b) => a;\nconst h = (c) => { return c; };\n", "typescript", "a.ts")["symbols"]]
+    assert names == ["x"]
