@@ -88,6 +88,7 @@ def names(text: str) -> set[str]:
     return set(NAME.findall(text))
 
 
+@lru_cache(maxsize=1 << 16)
 def style(name: str) -> str | None:
     m = COMPOUND.match(name)
     return m.lastgroup if m else None
@@ -108,10 +109,11 @@ def top(text: str) -> str:
     return "\n".join(out)
 
 
-def _indexes(name: str) -> list[int]:
-    """The trigrams of a name, as numbers below SYMBOLS ** 3."""
-    codes = [0, 0, *(_CODE[c] for c in name), 1]
-    return [(codes[i] * SYMBOLS + codes[i + 1]) * SYMBOLS + codes[i + 2] for i in range(len(codes) - 2)]
+@lru_cache(maxsize=1 << 16)
+def _indexes(name: str) -> tuple[int, ...]:
+    """The trigrams of a name, as numbers below SYMBOLS ** 3. Most names occur in many files."""
+    codes = [0, 0, *map(_CODE.__getitem__, name), 1]
+    return tuple([(a * SYMBOLS + b) * SYMBOLS + c for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)])
 
 
 _CODE = {c: i for i, c in enumerate("^\n$_" + string.digits + string.ascii_letters)}
@@ -119,8 +121,8 @@ _CODE = {c: i for i, c in enumerate("^\n$_" + string.digits + string.ascii_lette
 
 def diversity(text: str) -> tuple[int, int]:
     """Trigrams of all names of a text, repeated ones too, and how many of them are different."""
-    all_names = Counter(NAME.findall(text))
-    return sum(n * (len(w) + 1) for w, n in all_names.items()), len({i for w in all_names for i in _indexes(w)})
+    found = NAME.findall(text)
+    return len("".join(found)) + len(found), len(set().union(*map(_indexes, set(found))))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
