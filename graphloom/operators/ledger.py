@@ -166,7 +166,9 @@ class Ledger:
         if not held:
             return
         rows = self.spark.read.schema(EVENTS).parquet(*(f"{self.path}/{n}" for n in held))
-        open_tokens = {r.token for r in fold(rows).where("state = 'leased'").join(rows.where("event = 'leased'").select("item", F.col("token").alias("by")), "item").select(F.col("by").alias("token")).distinct().collect()}
+        taken = rows.where("event = 'leased'").select("item", F.col("token").alias("by"))
+        live = fold(rows).where("state = 'leased'").join(taken, "item").where(F.col("by") > F.coalesce("token", F.lit(-1)))
+        open_tokens = {r.by for r in live.select("by").distinct().collect()}  # one for each run under way
         essential(rows).write.mode("overwrite").parquet(f"{self.path}/state-{self.next_token():012d}")
         for n in held:
             if not (n.startswith("leased-") and int(n.split("-")[1]) in open_tokens):
