@@ -134,7 +134,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             lang = family(path)
             own = names(text) if lang and text else None
-            if own and not (short_names(text, own) or is_data(text) or told_by_head(text) or told_by_path(path)):
+            if own and not (told_by_path(path) or told_by_head(text) or short_names(text, own) or is_data(text)):
                 words.setdefault(lang, Counter()).update(own)
                 n, different = diversity(text)
                 if n >= TEMPLATE_TRIGRAMS:
