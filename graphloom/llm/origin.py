@@ -119,10 +119,9 @@ def _indexes(name: str) -> tuple[int, ...]:
 _CODE = {c: i for i, c in enumerate("^\n$_" + string.digits + string.ascii_letters)}
 
 
-def diversity(text: str) -> tuple[int, int]:
-    """Trigrams of all names of a text, repeated ones too, and how many of them are different."""
-    found = NAME.findall(text)
-    return len("".join(found)) + len(found), len(set().union(*map(_indexes, set(found))))
+def diversity(found: list[str], own: set[str]) -> tuple[int, int]:
+    """Trigrams of all names ``found`` in a text, repeated ones too, and how many of them are different."""
+    return len("".join(found)) + len(found), len(set().union(*map(_indexes, own)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +132,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             lang = family(path)
-            own = names(text) if lang and text else None
-            if own and not (told_by_path(path) or told_by_head(text) or short_names(text, own) or is_data(text)):
+            found = NAME.findall(text) if lang and text else []
+            own = set(found)
+            if own and not (told_by_path(path) or told_by_head(text) or short_names(found, own) or is_data(text)):
                 words.setdefault(lang, Counter()).update(own)
-                n, different = diversity(text)
+                n, different = diversity(found, own)
                 if n >= TEMPLATE_TRIGRAMS:
                     x, y = math.log(n), math.log(different)
                     sums.setdefault(lang, Counter()).update(dict(zip(SUMS, (round(v * SCALE) for v in (1, x, y, x * x, x * y, y * y)), strict=True)))
@@ -226,35 +226,35 @@ def train(files: DataFrame) -> Names:
 def is_data(text: str) -> bool:
     if text.count(",") < DATA_LITERALS:
         return False
-    n = size = 0
-    for m in LITERAL.finditer(text):
-        n += 1
-        size += m.end() - m.start()
+    literals = LITERAL.findall(text)
+    n, size = len(literals), len("".join(literals))
     visible = len(text) - text.count(" ") - text.count("\n") - text.count(",") - text.count("\r")
     if n < DATA_LITERALS or size < DATA_SHARE * visible:
         return False
     return len(names(LITERAL.sub("", text))) <= DATA_NAMES
 
 
-def short_names(text: str, own: set[str]) -> bool:
-    return len(own) >= 8 and sum(map(len, own)) < MANGLED_LENGTH * len(own) and _dense(text)
+def short_names(found: list[str], own: set[str]) -> bool:
+    """Names that are short on average and repeat over and over, as those of a minifier do: prose or another language does
+    not."""
+    return len(own) >= 8 and len("".join(own)) < MANGLED_LENGTH * len(own) and len(own) < 0.6 * len(found)
 
 
-def mangled(lang: str, text: str, own: set[str], model: Names) -> bool:
+def mangled(lang: str, found: list[str], own: set[str], model: Names) -> bool:
     """Short names, used over and over, that cost many bits under the model of their language or are mostly tiny."""
-    if not short_names(text, own):
+    if not short_names(found, own):
         return False
     if sum(len(w) < 3 for w in own) > TINY_SHARE * len(own):
         return True
     return lang in model.costs and sum(model.bits(lang, w) for w in own) > MANGLED_BITS * model.typical[lang] * len(own)
 
 
-def is_template(lang: str, text: str, model: Names) -> bool:
+def is_template(lang: str, found: list[str], own: set[str], model: Names) -> bool:
     """Whether the names of a text have far fewer different trigrams than other texts of its size."""
     usual = model.usual.get(lang)
     if usual is None:
         return False
-    n, different = diversity(text)
+    n, different = diversity(found, own)
     level, slope, deviation = usual
     return n >= TEMPLATE_TRIGRAMS and math.log(different) - level - slope * math.log(n) < TEMPLATE_DEVIATIONS * deviation
 
@@ -300,14 +300,15 @@ def signs(path: str | None, text: str | None, model: Names) -> Iterator[tuple[st
     """(sign, origin) of all that speaks for an origin, the names first: mangled, template, foreign; literals, head, path."""
     lang = family(path)
     if text:
-        own = names(text)
+        found = NAME.findall(text)
+        own = set(found)
         data = is_data(text)
         if data:
             yield "literals", "data"
         elif lang:
-            if mangled(lang, text, own, model):
+            if mangled(lang, found, own, model):
                 yield "mangled", "minified"
-            if is_template(lang, text, model):
+            if is_template(lang, found, own, model):
                 yield "template", "generated"
             if foreign(lang, text, own, model.styles):
                 yield "foreign", "vendored"
@@ -326,12 +327,6 @@ def judge(path: str | None, text: str | None, model: Names) -> str | None:
     return next((origin for _, origin in signs(path, text, model)), None)
 
 
-def _dense(text: str) -> bool:
-    """Code whose names repeat over and over, as those of a minifier do: prose or another language does not."""
-    all_names = NAME.findall(text)
-    return len(set(all_names)) < 0.6 * len(all_names)
-
-
 def classify(files: DataFrame, model: Names) -> DataFrame:
     """Rows (file_id, origin) of the files (file_id, file_path, text) that are not written by hand."""
     shared = files.sparkSession.sparkContext.broadcast(model)

@@ -320,7 +320,7 @@ def test_signs_of_names(spark):
     got = {i: list(origin.signs(p, t, model)) for i, p, t in files}
     assert got.pop("foreign") == [("foreign", "vendored")] and got.pop("template") == [("template", "generated")]
     assert not any(got.values())
-    assert origin.judge("src/l.ts", "const " + "aB" * 100 + " = 1;\n", model) is None and origin.diversity("aB" * 100_000) == (200_001, 5)
+    assert origin.judge("src/l.ts", "const " + "aB" * 100 + " = 1;\n", model) is None and origin.diversity(["aB" * 100_000], {"aB" * 100_000}) == (200_001, 5)
 
 
 @pytest.mark.parametrize("lang,head,tail", [("javascript", "x = ", ";"), ("typescript", "x = ", ";"), ("java", "class A { int x = ", "; }"), ("go", "package a\n\nvar x = ", "\n"), ("c_sharp", "var x = ", ";")])
