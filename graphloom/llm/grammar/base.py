@@ -15,20 +15,64 @@ MAX_DEPTH = 5000
 WORD = r"[^\W\d]\w*"
 
 
+class Enough(Exception):
+    """The first tokens do not tell whether the text is valid."""
+
+
+class Cut(list):
+    """The first of many tokens: whoever looks further gets no answer."""
+
+    def __getitem__(self, i):
+        if isinstance(i, slice) or i >= list.__len__(self):
+            raise Enough
+        return list.__getitem__(self, i)
+
+    def __len__(self) -> int:
+        return 1 << 60
+
+
+class CutPairs(dict):
+    """Partners of brackets; of those that close behind the first tokens there is no answer."""
+
+    def __init__(self, pair: dict[int, int], opened: list[int]):
+        super().__init__(pair)
+        self.opened = set(opened)
+
+    def __missing__(self, i: int):
+        if i in self.opened:
+            raise Enough
+        raise KeyError(i)
+
+    def get(self, i: int, default=None):
+        if i in self.opened:
+            raise Enough
+        return super().get(i, default)
+
+
 class Tokens:
     """A cursor over tokens. ``t`` holds texts (strings, numbers and other literals under one mark for their kind),
     ``k`` kinds, ``nl`` whether a line break stands before, ``at`` offsets, ``pair`` the partner of each bracket."""
 
     RESERVED: frozenset[str] = frozenset()
 
-    def __init__(self, text: str):
-        self.text = text
+    #: Tokens to read at most. A rule that fails within them fails in the whole text too, as it has seen nothing else.
+    limit: int | None = None
+
+    def __init__(self, text: str, limit: int | None = None):
+        self.text, self.limit = text, limit
         self.t: list[str] = []
         self.k: list[str] = []
         self.nl: list[bool] = []
         self.at: list[int] = []
         self.i = 0
-        self.lex()
+        try:
+            self.lex()
+        except Enough:
+            pair, opened = self._matched()
+            self.pair = CutPairs(pair, opened)
+            self.t, self.k, self.nl, self.at = Cut(self.t), Cut(self.k), Cut(self.nl), Cut(self.at)
+            return
+        self.limit = None
         self.add("", "eof", len(text), True)
         self.pair = self._pairs()
 
@@ -36,6 +80,8 @@ class Tokens:
         raise NotImplementedError
 
     def add(self, text: str, kind: str, at: int, nl: bool) -> None:
+        if self.limit is not None and len(self.t) >= self.limit:
+            raise Enough
         self.t.append(text)
         self.k.append(kind)
         self.at.append(at)
@@ -61,6 +107,13 @@ class Tokens:
             at = m.end()
 
     def _pairs(self) -> dict[int, int]:
+        pair, opened = self._matched()
+        if opened:
+            raise self.bad_at(self.at[opened[-1]], "never closed:")
+        return pair
+
+    def _matched(self) -> tuple[dict[int, int], list[int]]:
+        """Partners of brackets, and the brackets that nothing closes."""
         pair, stack = {}, []
         close = {")": "(", "]": "[", "}": "{"}
         for i, (t, k) in enumerate(zip(self.t, self.k, strict=True)):
@@ -75,9 +128,7 @@ class Tokens:
                     raise self.bad_at(self.at[i])
                 pair[stack[-1]] = i
                 pair[i] = stack.pop()
-        if stack:
-            raise self.bad_at(self.at[stack[-1]], "never closed:")
-        return pair
+        return pair, stack
 
     def bad_at(self, at: int, why: str = "unexpected") -> Bad:
         line = self.text.count("\n", 0, at) + 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from graphloom.llm.grammar.base import WORD, Tokens
+from graphloom.llm.grammar.base import WORD, Enough, Tokens
 
 LEX = re.compile(
     rf"(?P<nl>\n)|(?P<skip>[ \t\r\f]+)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<id>{WORD})"
@@ -25,17 +25,23 @@ class Go(Tokens):
     RESERVED = RESERVED
 
     def lex(self) -> None:
-        self.scan(LEX, {"id": "i", "num": "n", "str": "s", "op": "p"}, {"num": "0", "str": '"'})
+        cut = False
+        try:
+            self.scan(LEX, {"id": "i", "num": "n", "str": "s", "op": "p"}, {"num": "0", "str": '"'})
+        except Enough:
+            cut = True
         # a line break after a token that can end a statement is a semicolon
         t, k, at, nl = self.t, self.k, self.at, self.nl
         self.t, self.k, self.at, self.nl = [], [], [], []
-        for i in range(len(t)):
+        for i in range(len(t) - cut):
             self.add(t[i], k[i], at[i], nl[i])
             last = i + 1 == len(t)
             if (last or nl[i + 1]) and (
                 k[i] in "ns" or k[i] == "i" and (t[i] not in RESERVED or t[i] in ("break", "continue", "fallthrough", "return")) or k[i] == "p" and t[i] in ENDS
             ):
                 self.add(";", "p", at[i] + len(t[i]), False)
+        if cut:
+            raise Enough
 
     def parse(self) -> None:
         self.need("package")

@@ -32,9 +32,9 @@ TYPE_MODIFIERS = frozenset("public private protected readonly abstract override
 class Script(Tokens):
     RESERVED = RESERVED
 
-    def __init__(self, text: str, types: bool, jsx: bool):
+    def __init__(self, text: str, types: bool, jsx: bool, limit: int | None = None):
         self.types, self.jsx = types, jsx
-        super().__init__(text)
+        super().__init__(text, limit)
 
     # tokens
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,16 +18,15 @@ LANGUAGE = {
 }
 NAMED = {"tsx": "typescript"}
 
-# Tokens that are typical of one language.
+# Strings that are typical of one language.
 TYPICAL = {
-    "python": r"^\s*(?:def \w+\(.*:|class \w+.*:|from [\w.]+ import|import [\w.]+$|elif |except |if .*:$|return\b.*[^;]$)|\bself\.|\bNone\b",
-    "javascript": r"\brequire\(|\bmodule\.exports|\bconst \w+ =|\bfunction\b|=>|===|\bconsole\.",
-    "typescript": r"\binterface \w+|: (?:string|number|boolean|void)\b|\bprivate readonly|\bexport (?:class|const|type)|=>|Promise<",
-    "java": r"^package [\w.]+;|^import [\w.*]+;|\bpublic (?:class|long|void|static|interface)|\bfinal\b|\bnew \w+<|->|\bthrows\b",
-    "go": r"^package \w+$|\bfunc\b|:=|\berr != nil|\bdefer\b|\bstruct \{|\brange\b",
-    "c_sharp": r"^using [\w.]+;|^namespace\b|\basync Task|\bstring\b|\bforeach\b|\bget;|=>|\bvar \w+ =|\breadonly\b",
+    "python": ("def ", "self.", "elif ", " None", "\nfrom ", "except ", "):\n", "else:\n", "__init__", " not "),
+    "javascript": ("require(", "module.exports", "const ", "function ", "=>", "===", "console.", "let "),
+    "typescript": ("interface ", ": string", ": number", ": boolean", ": void", "private readonly", "export class", "export const", "export type", "Promise<", "=>"),
+    "java": ("package ", "import java", "public class", "public long", "public void", "private final", "final ", " new ", "->", "throws ", "@Override"),
+    "go": ("package ", "func ", ":=", "err != nil", "defer ", "struct {", "range ", "import (", "map["),
+    "c_sharp": ("using ", "namespace ", "async Task", "string ", "foreach ", "get;", "=>", "var ", "readonly ", "public class"),
 }
-_TYPICAL = {k: re.compile(v, re.M) for k, v in TYPICAL.items()}
 
 
 def extension_language(path: str | None) -> str | None:
@@ -36,8 +34,8 @@ def extension_language(path: str | None) -> str | None:
 
 
 def ranked(text: str) -> list[str]:
-    """All languages, the likeliest first, by the number of their typical tokens."""
-    return sorted(_TYPICAL, key=lambda k: -len(_TYPICAL[k].findall(text)))
+    """All languages, the likeliest first, by the number of their typical strings."""
+    return sorted(TYPICAL, key=lambda k: -sum(map(text.count, TYPICAL[k])))
 
 
 def outcomes(path: str | None, text: str) -> dict[str, str | None]:
@@ -45,7 +43,7 @@ def outcomes(path: str | None, text: str) -> dict[str, str | None]:
     the extension stands for its language."""
     own = extension_language(path)
     named = NAMED.get(own, own)
-    return {lang: grammar.error(text, own if lang == named else lang) for lang in ranked(text)}
+    return {lang: grammar.error(text, own if lang == named else lang, likely=lang == named) for lang in ranked(text)}
 
 
 def examine(path: str | None, text: str | None) -> tuple[str, str | None, str | None] | None:

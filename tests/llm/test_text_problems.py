@@ -335,3 +335,12 @@ def test_all_grammars_are_asked():
     said = syntax.outcomes("a.ts", "def f(x):\n    return x\n")
     assert list(said)[0] == "python" and set(said) == set(grammar.LANGUAGES) and [k for k, v in said.items() if v is None] == ["python"]
     assert syntax.outcomes("a.tsx", "const a = <b>c</b>;")["typescript"] is None
+
+
+@pytest.mark.parametrize("probe", [3, 10, 24])
+def test_probing_changes_no_verdict(monkeypatch, probe):
+    monkeypatch.setattr(grammar, "PROBE", probe)
+    texts = [t for some in (VALID, INVALID) for ts in some.values() for t in ts] + [BODY, MINIFIED]
+    texts += [t[: len(t) * k // 7] for t in texts for k in range(1, 7)]
+    for lang in grammar.PARSERS:
+        assert [grammar.error(t, lang, likely=False) is None for t in texts] == [grammar.error(t, lang) is None for t in texts]
